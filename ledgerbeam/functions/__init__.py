@@ -6,6 +6,7 @@ from ledgerbeam.functions.columns import (
     day_label,
     in_calendar_month,
     in_month_of_year,
+    money_scale,
     net_amount,
     net_of_sums,
     same_text,
@@ -17,6 +18,7 @@ __all__ = [
     "day_label",
     "in_calendar_month",
     "in_month_of_year",
+    "money_scale",
     "net_amount",
     "net_of_sums",
     "same_text",

@@ -2,8 +2,9 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: dates are published as 31/12/2020.
 DAY_LABEL_FORMAT = "dd/MM/yyyy"
@@ -14,10 +15,20 @@ def net_amount() -> Column:
     return F.col("debit") - F.col("credit")
 
 
-def net_of_sums() -> Column:
+def money_scale(ledger: DataFrame) -> int:
+    """Decimal places of the ledger's amounts."""
+    return ledger.schema["debit"].dataType.scale
+
+
+def net_of_sums(ledger: DataFrame) -> Column:
     """Total debit less total credit. Unlike ``sum(net_amount())`` this keeps the
-    known side of a row whose other side is NULL."""
-    return F.sum("debit") - F.sum("credit")
+    known side of a row whose other side is NULL.
+
+    One digit is left free for the subtraction: two 38-digit operands would make Spark
+    drop decimal places beyond the sixth.
+    """
+    total = T.DecimalType(37, money_scale(ledger))
+    return F.sum("debit").cast(total) - F.sum("credit").cast(total)
 
 
 def same_text(column: str, text: str) -> Column:

@@ -11,25 +11,40 @@ from ledgerbeam.functions import net_amount, same_text
 from ledgerbeam.sources.chart import ChartOfAccounts
 
 
-def daily_total(
+def total_per_day(
     invoices: DataFrame,
     status: str,
     name: str,
     date_col: str = "posting_date",
     value_col: str = "total",
 ) -> DataFrame:
-    """Sum of ``value_col`` per day over invoices in the given status."""
+    """``daily_total`` without its sort, for use inside a larger plan."""
     return (
         invoices.filter(same_text("status", status))
         .groupBy(date_col)
         .agg(F.sum(value_col).alias(name))
-        .orderBy(date_col)
     )
 
 
+def daily_total(
+    invoices: DataFrame,
+    status: str,
+    name: str,
+    date_col: str = "posting_date",
+    value_col: str = "total",
+) -> DataFrame:
+    """Sum of ``value_col`` per day over invoices in the given status."""
+    return total_per_day(invoices, status, name, date_col, value_col).orderBy(date_col)
+
+
+def count_per_day(df: DataFrame, date_col: str, id_col: str, name: str) -> DataFrame:
+    """``daily_count`` without its sort, for use inside a larger plan."""
+    return df.groupBy(date_col).agg(F.count(id_col).alias(name))
+
+
 def daily_count(df: DataFrame, date_col: str, id_col: str, name: str) -> DataFrame:
     """Number of rows per day whose ``id_col`` is known."""
-    return df.groupBy(date_col).agg(F.count(id_col).alias(name)).orderBy(date_col)
+    return count_per_day(df, date_col, id_col, name).orderBy(date_col)
 
 
 def ledger_daily(

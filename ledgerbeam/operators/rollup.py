@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +18,8 @@ def category_frame(spark: SparkSession, categories: Sequence[str]) -> DataFrame:
     """``(ord, parent_account)``, one row per category, held in a single partition."""
     if len(set(categories)) != len(categories):
         raise ValueError(f"categories repeat: {list(categories)}")
-    rows = [
-        F.struct(F.lit(place).alias("ord"), F.lit(parent).alias("parent_account"))
-        for place, parent in enumerate(categories, start=1)
-    ]
-    return spark.range(0, 1, 1, numPartitions=1).select(F.inline(F.array(*rows)))
+    rows = pa.table({"ord": range(1, len(categories) + 1), "parent_account": list(categories)})
+    return spark.createDataFrame(rows, "ord int, parent_account string").coalesce(1)
 
 
 def category_rollup(

@@ -17,14 +17,15 @@ def root_type_totals(
     gl: DataFrame, chart: ChartOfAccounts, root_type: str, fiscal_year: str
 ) -> DataFrame:
     """Total debit, credit and net of one root type; one row of NULLs without entries."""
-    return chart.attach(
+    entries = chart.attach(
         _entries_of_year(gl, fiscal_year),
         chart.of_root_types([root_type]),
         sums=["debit", "credit"],
-    ).agg(
+    )
+    return entries.agg(
         F.sum("debit").alias("debit"),
         F.sum("credit").alias("credit"),
-        net_of_sums().alias("net"),
+        net_of_sums(entries).alias("net"),
     )
 
 
@@ -36,15 +37,12 @@ def income_vs_expense(
     expense_root: str = "Expense",
 ) -> DataFrame:
     """Net income and net expense of a year side by side, 0 without entries."""
-    nets = (
-        chart.attach(
-            _entries_of_year(gl, fiscal_year),
-            chart.of_root_types([income_root, expense_root]),
-            sums=["debit", "credit"],
-        )
-        .groupBy("root_type")
-        .agg(net_of_sums().alias("net"))
+    entries = chart.attach(
+        _entries_of_year(gl, fiscal_year),
+        chart.of_root_types([income_root, expense_root]),
+        sums=["debit", "credit"],
     )
+    nets = entries.groupBy("root_type").agg(net_of_sums(entries).alias("net"))
 
     def net_of(root_type: str):
         return F.coalesce(F.max(F.when(F.col("root_type") == root_type, F.col("net"))), F.lit(0))

@@ -9,16 +9,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerbeam.functions import day_label, in_month_of_year, net_amount, net_of_sums
-from ledgerbeam.operators.daily import daily_count, daily_total
+from ledgerbeam.functions import day_label, in_month_of_year, money_scale, net_amount, net_of_sums
+from ledgerbeam.operators.daily import count_per_day, total_per_day
 from ledgerbeam.operators.parties import top_parties
 from ledgerbeam.plans.params import DashboardParams
 from ledgerbeam.sources.books import Books
 
+# The ledger series that hold a single net amount, and their labels.
 _NET_LABELS = {"net_income": "income", "net_expense": "expense"}
 
 
@@ -38,8 +40,8 @@ def _series_conditions(params: DashboardParams) -> dict[str, Column]:
     }
 
 
-def _series_places(params: DashboardParams) -> dict[str, tuple[str, ...]]:
-    """The fixed labels, in order, of each ledger series that has them."""
+def _fixed_labels(params: DashboardParams) -> dict[str, tuple[str, ...]]:
+    """The labels, in output order, that these series show with or without entries."""
     return {
         "cash_cur": params.cash_categories,
         "cash_prev": params.cash_categories,
@@ -59,24 +61,24 @@ def ledger_base(books: Books, params: DashboardParams) -> DataFrame:
     hands the shuffle no more than that. Debit, credit and net are summed apart,
     because they differ when one side of an entry is missing.
     """
-    conditions = _series_conditions(params)
     listed = [params.income_parent, *params.cash_categories, *params.expense_categories]
-    roots = [params.income_root, params.expense_root]
     parent = F.col("parent_account")
+    sums = ["debit", "credit", "net"]
 
-    wanted = books.chart.df.filter(parent.isin(listed) | F.col("root_type").isin(roots))
+    wanted = books.chart.df.filter(
+        parent.isin(listed) | F.col("root_type").isin(params.income_root, params.expense_root)
+    )
     entries = books.gl_entry.select(
         "account", "posting_date", "fiscal_year", "debit", "credit", net_amount().alias("net")
     )
-    sums = ["debit", "credit", "net"]
-    feeds = reduce(
-        lambda a, b: a.bitwiseOR(b),
-        (F.when(rows, 1 << i).otherwise(0) for i, rows in enumerate(conditions.values())),
+    bits = (
+        F.when(rows, 1 << i).otherwise(0)
+        for i, rows in enumerate(_series_conditions(params).values())
     )
     return (
         books.chart.attach(entries, wanted, sums)
         .select(
-            feeds.alias("feeds"),
+            reduce(Column.bitwiseOR, bits).alias("feeds"),
             F.when(parent.isin(listed), parent).alias("parent_account"),
             F.when(parent == params.income_parent, F.col("posting_date")).alias("posting_date"),
             *sums,
@@ -90,54 +92,43 @@ def ledger_base(books: Books, params: DashboardParams) -> DataFrame:
 def _ledger_series(books: Books, params: DashboardParams) -> DataFrame:
     """``(series, place, day, label, value)`` of the seven ledger series.
 
-    Rows of the base are spread to the series they feed. Empty rows for every fixed
-    label join them before the final sum, which fills absent categories with 0.
+    Each row of the base goes to the series it feeds. One empty row per fixed label
+    joins them before the final sum, which gives the label its place and, where there
+    were no entries, its 0.
     """
-    places = _series_places(params)
-
-    def slot(series: str, label: Column, place: Column, day: Column) -> Column:
-        return F.struct(
-            F.lit(series).alias("series"),
-            place.cast("int").alias("place"),
-            day.cast("date").alias("day"),
-            label.cast("string").alias("label"),
+    fed = ", ".join(
+        f"if(feeds & {1 << i} != 0, '{series}', null)"
+        for i, series in enumerate(_series_conditions(params))
+    )
+    net_label = " ".join(f"when '{series}' then '{label}'" for series, label in _NET_LABELS.items())
+    entries = (
+        ledger_base(books, params)
+        .selectExpr(f"explode(array_compact(array({fed}))) as series", "*")
+        .selectExpr(
+            "series",
+            "if(series = 'income', posting_date, null) as day",
+            f"case series when 'income' then null {net_label} else parent_account end as label",
+            "debit",
+            "credit",
+            "net",
         )
-
-    nothing = F.lit(None)
-    slots = []
-    for i, series in enumerate(_series_conditions(params)):
-        if series == "income":
-            target = slot(series, nothing, nothing, F.col("posting_date"))
-        elif series in _NET_LABELS:
-            target = slot(series, F.lit(_NET_LABELS[series]), F.lit(1), nothing)
-        else:
-            parent = F.col("parent_account")
-            place = F.array_position(F.array(*map(F.lit, places[series])), parent)
-            target = slot(series, parent, place, nothing)
-        slots.append(F.when(F.col("feeds").bitwiseAND(1 << i) != 0, target))
-
-    base = ledger_base(books, params)
-    spread = base.select(
-        F.explode(F.array_compact(F.array(*slots))).alias("slot"), "debit", "credit", "net"
-    ).select("slot.*", "debit", "credit", "net")
-
-    fixed = [
-        slot(series, F.lit(label), F.lit(place), nothing)
-        for series, labels in places.items()
-        for place, label in enumerate(labels, start=1)
-    ]
-    empty = (
-        base.sparkSession.range(0, 1, 1, numPartitions=1)
-        .select(F.inline(F.array(*fixed)))
-        .select("*", *(F.lit(None).cast(spread.schema[c].dataType).alias(c) for c in ("debit", "credit", "net")))
     )
-
-    value = F.when(F.col("series").isin(list(_NET_LABELS)), net_of_sums()).otherwise(F.sum("net"))
+    places = pa.Table.from_pylist(
+        [
+            {"series": series, "place": place, "label": label}
+            for series, labels in _fixed_labels(params).items()
+            for place, label in enumerate(labels, start=1)
+        ]
+    )
+    empty = entries.sparkSession.createDataFrame(places, "series string, place int, label string")
+    value = F.when(F.col("series").isin(list(_NET_LABELS)), net_of_sums(entries)).otherwise(
+        F.sum("net")
+    )
     return (
-        spread.unionByName(empty)
-        .groupBy("series", "place", "day", "label")
-        .agg(value.alias("value"))
-        .withColumn("value", F.when(F.col("place").isNull(), F.col("value")).otherwise(F.coalesce("value", F.lit(0))))
+        entries.unionByName(empty.coalesce(1), allowMissingColumns=True)
+        .groupBy("series", "day", "label")
+        .agg(F.max("place").alias("place"), value.alias("value"))
+        .withColumn("value", F.expr("if(place is null, value, coalesce(value, 0))"))
     )
 
 
@@ -148,48 +139,34 @@ def dashboard_series(books: Books, params: DashboardParams) -> DataFrame:
     series has at most one row per calendar day, category or top party, so the window
     that numbers it never holds more than that.
     """
-    scale = books.gl_entry.schema["debit"].dataType.scale
-    amount = T.DecimalType(38, scale)
-
-    def rows(df: DataFrame, series: Column, value: str, **known: Column) -> DataFrame:
-        columns = {"place": F.lit(None), "day": F.lit(None), "rank_by": F.lit(None), "label": F.lit(None)}
-        columns.update(known)
-        return df.select(
-            series.alias("series"),
-            columns["place"].cast("int").alias("place"),
-            columns["day"].cast("date").alias("day"),
-            columns["rank_by"].cast(amount).alias("rank_by"),
-            columns["label"].cast("string").alias("label"),
-            F.col(value).cast(amount).alias("value"),
-        )
-
-    day = F.col("posting_date")
-    sales = daily_total(books.sales_invoice, params.paid_status, "value")
-    purchases = daily_total(books.purchase_invoice, params.paid_status, "value")
-    joiners = daily_count(books.employee, "date_of_joining", "name", "value")
+    sales = total_per_day(books.sales_invoice, params.paid_status, "value")
+    purchases = total_per_day(books.purchase_invoice, params.paid_status, "value")
+    joiners = count_per_day(books.employee, "date_of_joining", "name", "value")
     payers = top_parties(books.gl_entry, params.party_type, params.voucher_type, params.top_k)
-    ledger = _ledger_series(books, params)
 
+    amount = T.DecimalType(38, money_scale(books.gl_entry)).simpleString()
+    value = f"cast(value as {amount}) as value"
+    by_rank = f"cast(total_annual as {amount})"
     parts = [
-        rows(sales, F.lit("sales_paid"), "value", day=day),
-        rows(purchases, F.lit("purchase_paid"), "value", day=day),
-        rows(joiners, F.lit("headcount"), "value", day=F.col("date_of_joining")),
-        rows(
-            payers,
-            F.lit("top_customers"),
-            "total_annual",
-            rank_by=F.col("total_annual"),
-            label=F.col("customer"),
+        _ledger_series(books, params).selectExpr("series", "place", "day", "label", value),
+        sales.selectExpr("'sales_paid' as series", "posting_date as day", value),
+        purchases.selectExpr("'purchase_paid' as series", "posting_date as day", value),
+        joiners.selectExpr("'headcount' as series", "date_of_joining as day", value),
+        payers.selectExpr(
+            "'top_customers' as series",
+            "customer as label",
+            f"{by_rank} as value",
+            f"{by_rank} as rank_by",
         ),
-        rows(ledger, F.col("series"), "value", place=F.col("place"), day=F.col("day"), label=F.col("label")),
     ]
+    points = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     in_order = Window.partitionBy("series").orderBy(
         F.col("place").asc_nulls_first(),
         F.col("day").asc_nulls_first(),
         F.col("rank_by").desc_nulls_last(),
         F.col("label").asc_nulls_last(),
     )
-    return reduce(DataFrame.unionByName, parts).select(
+    return points.select(
         "series",
         F.row_number().over(in_order).alias("ord"),
         F.coalesce(F.col("label"), day_label("day")).alias("label"),
@@ -202,9 +179,9 @@ def as_lists(series: DataFrame) -> DataFrame:
     return (
         series.groupBy("series")
         .agg(F.array_sort(F.collect_list(F.struct("ord", "label", "value"))).alias("points"))
-        .select(
+        .selectExpr(
             "series",
-            F.transform("points", lambda p: p["label"]).alias("labels"),
-            F.transform("points", lambda p: p["value"]).alias("values"),
+            "transform(points, p -> p.label) as labels",
+            "transform(points, p -> p.value) as values",
         )
     )

@@ -7,81 +7,68 @@ order a sales invoice with a customer entry, every signup event an employee.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerbeam.sources.books import Books
-from ledgerbeam.sources.schemas import MONEY
-
-
-def _money(column: str):
-    return F.col(column).cast(MONEY)
 
 
 def _account(part: DataFrame) -> DataFrame:
-    kind = F.col("p_type")
-    return part.select(
-        F.col("p_partkey").cast("string").alias("name"),
-        F.col("p_brand").alias("parent_account"),
-        F.when(kind.isin("ECONOMY", "PROMO"), "Income")
-        .when(kind.isin("LARGE", "MEDIUM"), "Expense")
-        .when(kind == "SMALL", "Asset")
-        .otherwise("Liability")
-        .alias("root_type"),
+    return part.selectExpr(
+        "cast(p_partkey as string) as name",
+        "p_brand as parent_account",
+        """case when p_type in ('ECONOMY', 'PROMO') then 'Income'
+                when p_type in ('LARGE', 'MEDIUM') then 'Expense'
+                when p_type = 'SMALL' then 'Asset'
+                else 'Liability' end as root_type""",
     )
 
 
 def _journal_entries(lineitem: DataFrame) -> DataFrame:
-    returned = F.col("l_returnflag") == "R"
-    nothing = F.lit(0).cast(MONEY)
-    return lineitem.select(
-        F.col("l_partkey").cast("string").alias("account"),
-        F.col("l_shipdate").cast("date").alias("posting_date"),
-        F.when(returned, _money("l_extendedprice")).otherwise(nothing).alias("debit"),
-        F.when(~returned, _money("l_extendedprice")).otherwise(nothing).alias("credit"),
-        F.year("l_shipdate").cast("string").alias("fiscal_year"),
-        F.lit(None).cast("string").alias("party"),
-        F.lit(None).cast("string").alias("party_type"),
-        F.lit("Journal Entry").alias("voucher_type"),
+    return lineitem.selectExpr(
+        "cast(l_partkey as string) as account",
+        "cast(l_shipdate as date) as posting_date",
+        "if(l_returnflag = 'R', cast(l_extendedprice as decimal(18,2)), 0bd) as debit",
+        "if(l_returnflag <> 'R', cast(l_extendedprice as decimal(18,2)), 0bd) as credit",
+        "cast(year(l_shipdate) as string) as fiscal_year",
+        "cast(null as string) as party",
+        "cast(null as string) as party_type",
+        "'Journal Entry' as voucher_type",
     )
 
 
 def _customer_entries(orders: DataFrame) -> DataFrame:
     # 'AR' is not in the account table: these are entries without an account.
-    return orders.select(
-        F.lit("AR").alias("account"),
-        F.col("o_orderdate").cast("date").alias("posting_date"),
-        F.lit(0).cast(MONEY).alias("debit"),
-        _money("o_totalprice").alias("credit"),
-        F.year("o_orderdate").cast("string").alias("fiscal_year"),
-        F.col("o_custkey").cast("string").alias("party"),
-        F.lit("Customer").alias("party_type"),
-        F.when(F.col("o_orderstatus") == "F", "Payment Entry")
-        .otherwise("Sales Invoice")
-        .alias("voucher_type"),
+    return orders.selectExpr(
+        "'AR' as account",
+        "cast(o_orderdate as date) as posting_date",
+        "cast(0 as decimal(18,2)) as debit",
+        "cast(o_totalprice as decimal(18,2)) as credit",
+        "cast(year(o_orderdate) as string) as fiscal_year",
+        "cast(o_custkey as string) as party",
+        "'Customer' as party_type",
+        "if(o_orderstatus = 'F', 'Payment Entry', 'Sales Invoice') as voucher_type",
     )
 
 
 def _sales_invoice(orders: DataFrame) -> DataFrame:
-    state = F.col("o_orderstatus")
-    return orders.select(
-        F.col("o_orderdate").cast("date").alias("posting_date"),
-        _money("o_totalprice").alias("total"),
-        F.when(state == "F", "Paid").when(state == "P", "Overdue").otherwise("Unpaid").alias("status"),
+    return orders.selectExpr(
+        "cast(o_orderdate as date) as posting_date",
+        "cast(o_totalprice as decimal(18,2)) as total",
+        "case o_orderstatus when 'F' then 'Paid' when 'P' then 'Overdue' else 'Unpaid' end as status",
     )
 
 
 def _purchase_invoice(lineitem: DataFrame) -> DataFrame:
-    return lineitem.select(
-        F.col("l_shipdate").cast("date").alias("posting_date"),
-        _money("l_extendedprice").alias("total"),
-        F.when(F.col("l_linestatus") == "F", "Paid").otherwise("Unpaid").alias("status"),
+    return lineitem.selectExpr(
+        "cast(l_shipdate as date) as posting_date",
+        "cast(l_extendedprice as decimal(18,2)) as total",
+        "if(l_linestatus = 'F', 'Paid', 'Unpaid') as status",
     )
 
 
 def _employee(events: DataFrame) -> DataFrame:
-    return events.filter(F.col("event_type") == "signup").select(
-        F.col("event_id").cast("string").alias("name"),
-        F.col("ts").cast("date").alias("date_of_joining"),
+    return events.filter("event_type = 'signup'").selectExpr(
+        "cast(event_id as string) as name",
+        "cast(ts as date) as date_of_joining",
     )
 
 

@@ -1,0 +1,89 @@
+"""What the physical plans must and must not contain."""
+
+from __future__ import annotations
+
+import pytest
+
+import __spark_entry__ as driver
+from ledgerbeam.plans import dashboard_series
+from ledgerbeam.sources import open_books, write_books
+from tests.helpers import plan_of
+
+
+def executed(df):
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return plan_of(df).split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("limit", [None, 0], ids=["broadcast", "shuffle"])
+@pytest.mark.parametrize("name", driver.PLANS)
+def test_no_plan_multiplies_rows_or_leaves_the_jvm(star_books, name, limit):
+    books = star_books if limit is None else star_books.with_broadcast_limit(limit)
+    plan = plan_of(driver.PLANS[name](books, driver.PARAMS))
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas", "ExistingRDD"):
+        assert unwanted not in plan
+
+
+def test_top_parties_keeps_only_the_top_in_each_task(star_books):
+    plan = plan_of(driver.PLANS["top_customers_by_payment"](star_books, driver.PARAMS))
+    assert "TakeOrderedAndProject" in plan
+
+
+def test_small_chart_is_broadcast_and_ledger_rows_are_not_shuffled(star_books):
+    plan = plan_of(driver.PLANS["cash_balance_by_account"](star_books, driver.PARAMS))
+    assert "BroadcastHashJoin" in plan
+    below = plan[plan.index("BroadcastHashJoin") :]
+    assert "hashpartitioning" not in below and "partial_sum" not in below
+
+
+def test_large_chart_meets_a_ledger_already_summed_per_account(spark, star_books):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(
+            driver.PLANS["cash_balance_by_account"](star_books.with_broadcast_limit(0), driver.PARAMS)
+        )
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" not in plan
+    below = plan[plan.index("SortMergeJoin") :]
+    assert "partial_sum" in below
+
+
+@pytest.fixture(scope="module")
+def stored(spark, star_books, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("layout") / "books")
+    write_books(star_books, path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")  # show scans in full
+    yield open_books(spark, path)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def ledger_scans(plan):
+    return [line for line in plan.splitlines() if "FileScan" in line and "/gl_entry" in line]
+
+
+def test_dashboard_scans_the_ledger_twice_and_sorts_nothing_globally(stored):
+    plan = executed(dashboard_series(stored, driver.PARAMS))
+    assert len(ledger_scans(plan)) == 2
+    assert "rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize(
+    "name", ["cash_balance_by_account", "cash_category_rollup", "income_totals_cur"]
+)
+def test_fiscal_year_prunes_partitions(stored, name):
+    [scan] = ledger_scans(plan_of(driver.PLANS[name](stored, driver.PARAMS)))
+    assert "fiscal_year" in scan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+
+
+def test_filters_and_columns_reach_the_scan(stored):
+    [scan] = ledger_scans(plan_of(driver.PLANS["top_customers_by_payment"](stored, driver.PARAMS)))
+    assert "EqualTo(party_type,Customer)" in scan
+    assert "EqualTo(voucher_type,Payment Entry)" in scan
+    assert "debit" not in scan.split("ReadSchema")[1]
+    [scan] = ledger_scans(
+        plan_of(driver.PLANS["expense_by_account_prev_month_calendar"](stored, driver.PARAMS))
+    )
+    assert "GreaterThanOrEqual(posting_date,2000-02-01)" in scan
+    assert "LessThan(posting_date,2000-03-01)" in scan
