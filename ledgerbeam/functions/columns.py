@@ -20,15 +20,20 @@ def money_scale(ledger: DataFrame) -> int:
     return ledger.schema["debit"].dataType.scale
 
 
-def net_of_sums(ledger: DataFrame) -> Column:
-    """Total debit less total credit. Unlike ``sum(net_amount())`` this keeps the
-    known side of a row whose other side is NULL.
+def net_of_sums(ledger: DataFrame, where: Column | None = None) -> Column:
+    """Total debit less total credit, over the rows that meet ``where``.
 
-    One digit is left free for the subtraction: two 38-digit operands would make Spark
-    drop decimal places beyond the sixth.
+    Unlike ``sum(net_amount())`` this keeps the known side of a row whose other side is
+    NULL. One digit is left free for the subtraction: two 38-digit operands would make
+    Spark drop decimal places beyond the sixth.
     """
     total = T.DecimalType(37, money_scale(ledger))
-    return F.sum("debit").cast(total) - F.sum("credit").cast(total)
+
+    def side(column: str) -> Column:
+        amount = F.col(column) if where is None else F.when(where, F.col(column))
+        return F.sum(amount).cast(total)
+
+    return side("debit") - side("credit")
 
 
 def same_text(column: str, text: str) -> Column:

@@ -47,19 +47,25 @@ def daily_count(df: DataFrame, date_col: str, id_col: str, name: str) -> DataFra
     return count_per_day(df, date_col, id_col, name).orderBy(date_col)
 
 
-def ledger_daily(
+def ledger_per_day(
     gl: DataFrame, chart: ChartOfAccounts, parents: Sequence[str], name: str
 ) -> DataFrame:
-    """Net amount per day and parent over the accounts below ``parents``."""
+    """``ledger_daily`` without its sort, for use inside a larger plan."""
     entries = gl.select("account", "posting_date", net_amount().alias(name))
     return (
         chart.attach(entries, chart.under(parents), sums=[name])
         .groupBy("posting_date", F.col("parent_account").alias("account_parent"))
         .agg(F.sum(name).alias(name))
-        .orderBy("posting_date", "account_parent")
     )
 
 
+def ledger_daily(
+    gl: DataFrame, chart: ChartOfAccounts, parents: Sequence[str], name: str
+) -> DataFrame:
+    """Net amount per day and parent over the accounts below ``parents``."""
+    return ledger_per_day(gl, chart, parents, name).orderBy("posting_date", "account_parent")
+
+
 def account_daily_credit(gl: DataFrame, account: str, name: str) -> DataFrame:
     """Credits per day of one account, without regard to its place in the chart."""
     return (

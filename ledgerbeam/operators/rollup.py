@@ -22,28 +22,38 @@ def category_frame(spark: SparkSession, categories: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, parent_account string").coalesce(1)
 
 
-def category_rollup(
+def category_totals(
     gl: DataFrame,
     chart: ChartOfAccounts,
     categories: Sequence[str],
     measures: Mapping[str, Column],
 ) -> DataFrame:
-    """Net amount per category, with one column for each of the ``measures``.
-
-    A measure is a condition on ledger rows, e.g. ``{"total": fiscal_year == "2020"}``.
-    All measures come from the same pass over the ledger. The ledger is reduced to one
-    row per category before it meets the category list, which keeps the outer join
-    (and with it the zero fill) off the large side.
-    """
+    """Net amount per category that has entries, with one column for each measure."""
     names = list(measures)
     entries = gl.filter(reduce(or_, measures.values())).select(
         "account", *(F.when(rows, net_amount()).alias(name) for name, rows in measures.items())
     )
-    totals = (
+    return (
         chart.attach(entries, chart.under(categories), sums=names)
         .groupBy("parent_account")
         .agg(*(F.sum(name).alias(name) for name in names))
     )
+
+
+def category_rollup(
+    gl: DataFrame,
+    chart: ChartOfAccounts,
+    categories: Sequence[str],
+    measures: Mapping[str, Column],
+) -> DataFrame:
+    """Net amount of every category, in the given order, with one column for each measure.
+
+    A measure is a condition on ledger rows, e.g. ``{"total": fiscal_year == "2020"}``.
+    All measures come from the same pass over the ledger. The ledger is reduced to one
+    row per category before it meets the category list, which keeps the outer join
+    (and with it the zero fill) off the large side.
+    """
+    totals = category_totals(gl, chart, categories, measures)
     # totals has at most one row per category, so copying it is safe at any data size
     return (
         category_frame(gl.sparkSession, categories)
@@ -51,7 +61,7 @@ def category_rollup(
         .select(
             "ord",
             "parent_account",
-            *(F.coalesce(F.col(name), F.lit(0)).alias(name) for name in names),
+            *(F.coalesce(F.col(name), F.lit(0)).alias(name) for name in measures),
         )
         .orderBy("ord")
     )

@@ -36,15 +36,19 @@ def income_vs_expense(
     income_root: str = "Income",
     expense_root: str = "Expense",
 ) -> DataFrame:
-    """Net income and net expense of a year side by side, 0 without entries."""
+    """Net income and net expense of a year side by side, 0 without entries.
+
+    Conditional sums without a group key: Spark keeps those in local variables, where a
+    grouped decimal sum would be written back to a hash map row by row.
+    """
     entries = chart.attach(
         _entries_of_year(gl, fiscal_year),
         chart.of_root_types([income_root, expense_root]),
         sums=["debit", "credit"],
     )
-    nets = entries.groupBy("root_type").agg(net_of_sums(entries).alias("net"))
 
     def net_of(root_type: str):
-        return F.coalesce(F.max(F.when(F.col("root_type") == root_type, F.col("net"))), F.lit(0))
+        net = net_of_sums(entries, where=F.col("root_type") == root_type)
+        return F.coalesce(net, F.lit(0))
 
-    return nets.agg(net_of(income_root).alias("pendapatan"), net_of(expense_root).alias("beban"))
+    return entries.agg(net_of(income_root).alias("pendapatan"), net_of(expense_root).alias("beban"))

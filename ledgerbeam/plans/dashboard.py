@@ -1,8 +1,9 @@
 """All eleven series of the dashboard in one plan.
 
-Seven of the series come from the ledger joined to the chart of accounts. They share
-one scan: ``ledger_base`` reduces the ledger to a small table from which all seven
-are read.
+Seven of the series come from the ledger joined to the chart of accounts. When the
+accounts they need fit a broadcast, they share one scan: ``ledger_base`` reduces the
+ledger to a small table from which all seven are read. Otherwise each pair of series has
+a pass of its own, whose filters and single shuffle key a shared pass could not have.
 """
 
 from __future__ import annotations
@@ -14,120 +15,192 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerbeam.functions import day_label, in_month_of_year, money_scale, net_amount, net_of_sums
-from ledgerbeam.operators.daily import count_per_day, total_per_day
+from ledgerbeam.functions import day_label, in_month_of_year, money_scale
+from ledgerbeam.operators.daily import count_per_day, ledger_per_day, total_per_day
 from ledgerbeam.operators.parties import top_parties
+from ledgerbeam.operators.rollup import category_totals
+from ledgerbeam.operators.totals import income_vs_expense
 from ledgerbeam.plans.params import DashboardParams
 from ledgerbeam.sources.books import Books
 
-# The ledger series that hold a single net amount, and their labels.
+# The ledger series, those with one net amount, and the latter's labels.
+_SERIES = (
+    "income",
+    "cash_cur",
+    "cash_prev",
+    "expense_cur",
+    "expense_prev",
+    "net_income",
+    "net_expense",
+)
 _NET_LABELS = {"net_income": "income", "net_expense": "expense"}
+_BIT = {series: 1 << i for i, series in enumerate(_SERIES)}
 
 
-def _series_conditions(params: DashboardParams) -> dict[str, Column]:
-    """For each ledger series, which joined ledger rows feed it."""
-    parent, root, year = F.col("parent_account"), F.col("root_type"), F.col("fiscal_year")
-    cash = parent.isin(list(params.cash_categories))
-    expense = parent.isin(list(params.expense_categories))
-    return {
-        "income": parent == params.income_parent,
-        "cash_cur": cash & (year == params.fiscal_year),
-        "cash_prev": cash & (year == params.prior_fiscal_year),
-        "expense_cur": expense & in_month_of_year("posting_date", params.as_of),
-        "expense_prev": expense & in_month_of_year("posting_date", params.as_of, -1),
-        "net_income": (root == params.income_root) & (year == params.fiscal_year),
-        "net_expense": (root == params.expense_root) & (year == params.fiscal_year),
-    }
+def _bits(*series: str) -> int:
+    return sum(_BIT[s] for s in series)
 
 
-def _fixed_labels(params: DashboardParams) -> dict[str, tuple[str, ...]]:
-    """The labels, in output order, that these series show with or without entries."""
-    return {
-        "cash_cur": params.cash_categories,
-        "cash_prev": params.cash_categories,
-        "expense_cur": params.expense_categories,
-        "expense_prev": params.expense_categories,
-        **{series: (label,) for series, label in _NET_LABELS.items()},
-    }
+def _either(*choices: tuple[Column, int]) -> Column:
+    """The bits of all choices whose condition holds."""
+    return reduce(Column.bitwiseOR, (F.when(rows, bits).otherwise(0) for rows, bits in choices))
+
+
+def _listed_parents(params: DashboardParams) -> list[str]:
+    return [params.income_parent, *params.cash_categories, *params.expense_categories]
+
+
+def _wanted_accounts(books: Books, params: DashboardParams) -> DataFrame:
+    """``(name, parent_no, may_feed)`` of the accounts that any ledger series reads.
+
+    ``parent_no`` is the place of the parent among the listed ones, 0 for any other.
+    """
+    parent, root = F.col("parent_account"), F.col("root_type")
+    listed = _listed_parents(params)
+    may_feed = _either(
+        (parent == params.income_parent, _bits("income")),
+        (parent.isin(list(params.cash_categories)), _bits("cash_cur", "cash_prev")),
+        (parent.isin(list(params.expense_categories)), _bits("expense_cur", "expense_prev")),
+        (root == params.income_root, _bits("net_income")),
+        (root == params.expense_root, _bits("net_expense")),
+    )
+    parent_no = F.coalesce(F.array_position(F.lit(listed), parent).cast("int"), F.lit(0))
+    wanted = parent.isin(listed) | root.isin(params.income_root, params.expense_root)
+    return books.chart.df.filter(wanted).select(
+        "name", parent_no.alias("parent_no"), may_feed.alias("may_feed")
+    )
 
 
 def ledger_base(books: Books, params: DashboardParams) -> DataFrame:
     """The ledger summed to what the dashboard needs of it, in one pass.
 
-    ``feeds`` has bit *i* set when the row counts towards ledger series *i*. The group
-    key holds nothing that no series reads: the date is kept only for the income
-    parent, the parent only when it is listed, the account not at all. So the table has
-    a few rows per day, whatever the number of accounts and entries, and every task
-    hands the shuffle no more than that. Debit, credit and net are summed apart,
-    because they differ when one side of an entry is missing.
-    """
-    listed = [params.income_parent, *params.cash_categories, *params.expense_categories]
-    parent = F.col("parent_account")
-    sums = ["debit", "credit", "net"]
+    A row counts towards a series when its account and its own date and year both
+    qualify; ``feeds`` has one bit for each such series. The group key holds nothing
+    that no series reads: the date is kept only for the income parent, the parent only
+    when it is listed, the account not at all. So the table has a few rows per day,
+    whatever the number of accounts and entries, and every task hands the shuffle no
+    more than that.
 
-    wanted = books.chart.df.filter(
-        parent.isin(listed) | F.col("root_type").isin(params.income_root, params.expense_root)
-    )
-    entries = books.gl_entry.select(
-        "account", "posting_date", "fiscal_year", "debit", "credit", net_amount().alias("net")
+    ``known`` tells which sides of an entry are given (1 debit, 2 credit). With it in
+    the key one sum of ``amount``, where a missing side counts as 0, serves both the
+    series that skip entries with a missing side and those that total the sides apart.
+
+    The wanted accounts have to fit a broadcast.
+    """
+    year = F.col("fiscal_year")
+    row_feeds = _either(
+        (F.lit(True), _bits("income")),
+        (year == params.fiscal_year, _bits("cash_cur", "net_income", "net_expense")),
+        (year == params.prior_fiscal_year, _bits("cash_prev")),
+        (in_month_of_year("posting_date", params.as_of), _bits("expense_cur")),
+        (in_month_of_year("posting_date", params.as_of, -1), _bits("expense_prev")),
     )
-    bits = (
-        F.when(rows, 1 << i).otherwise(0)
-        for i, rows in enumerate(_series_conditions(params).values())
+    entries = books.gl_entry.select("account", "posting_date", "fiscal_year", "debit", "credit")
+    return (
+        books.chart.label(entries, _wanted_accounts(books, params))
+        .withColumn("feeds", row_feeds.bitwiseAND(F.col("may_feed")))
+        .filter("feeds != 0")
+        .selectExpr(
+            "feeds",
+            "parent_no",
+            f"if(feeds & {_bits('income')} != 0, posting_date, null) as posting_date",
+            "if(debit is null, 0, 1) + if(credit is null, 0, 2) as known",
+            "coalesce(debit, 0) - coalesce(credit, 0) as amount",
+        )
+        .groupBy("feeds", "parent_no", "posting_date", "known")
+        .agg(F.sum("amount").alias("amount"))
     )
+
+
+def _from_shared_pass(books: Books, params: DashboardParams) -> DataFrame:
+    """``(series, day, label, value)``: each row of the base goes to the series it feeds."""
+    fed = ", ".join(f"if(feeds & {bit} != 0, '{series}', null)" for series, bit in _BIT.items())
+    parent = F.get(F.lit(_listed_parents(params)), F.col("parent_no") - 1)
+    label = F.when(F.col("series").isin("cash_cur", "cash_prev", "expense_cur", "expense_prev"), parent)
+    for series, name in _NET_LABELS.items():
+        label = label.when(F.col("series") == series, name)
     return (
-        books.chart.attach(entries, wanted, sums)
-        .select(
-            reduce(Column.bitwiseOR, bits).alias("feeds"),
-            F.when(parent.isin(listed), parent).alias("parent_account"),
-            F.when(parent == params.income_parent, F.col("posting_date")).alias("posting_date"),
-            *sums,
+        ledger_base(books, params)
+        .selectExpr(f"explode(array_compact(array({fed}))) as series", "*")
+        .withColumn("label", label)
+        .groupBy("series", F.expr("if(series = 'income', posting_date, null) as day"), "label")
+        .agg(
+            F.sum("amount").alias("of_sides"),
+            F.expr("sum(amount) filter (where known = 3)").alias("of_rows"),
+            F.expr("bit_or(known) = 3").alias("both_sides"),
         )
-        .filter("feeds != 0")
-        .groupBy("feeds", "parent_account", "posting_date")
-        .agg(*(F.sum(c).alias(c) for c in sums))
+        .withColumn(
+            "value",
+            F.when(F.col("series").isin(list(_NET_LABELS)), F.expr("if(both_sides, of_sides, null)"))
+            .otherwise(F.col("of_rows")),
+        )
+        .select("series", "day", "label", "value")
+    )
+
+
+def _from_separate_passes(books: Books, params: DashboardParams) -> DataFrame:
+    """``(series, day, label, value)`` out of the operators that stand for each series."""
+    gl, chart, year = books.gl_entry, books.chart, F.col("fiscal_year")
+    cash = {
+        "cash_cur": year == params.fiscal_year,
+        "cash_prev": year == params.prior_fiscal_year,
+    }
+    expense = {
+        "expense_cur": in_month_of_year("posting_date", params.as_of),
+        "expense_prev": in_month_of_year("posting_date", params.as_of, -1),
+    }
+    def spread(categories: tuple[str, ...], measures: dict[str, Column]) -> DataFrame:
+        pairs = ", ".join(f"'{name}', {name}" for name in measures)
+        return category_totals(gl, chart, categories, measures).selectExpr(
+            f"stack({len(measures)}, {pairs}) as (series, value)", "parent_account as label"
+        )
+
+    nets = income_vs_expense(
+        gl, chart, params.fiscal_year, params.income_root, params.expense_root
     )
+    parts = [
+        ledger_per_day(gl, chart, [params.income_parent], "value").selectExpr(
+            "'income' as series", "posting_date as day", "value"
+        ),
+        spread(params.cash_categories, cash),
+        spread(params.expense_categories, expense),
+        nets.selectExpr(
+            """stack(2, 'net_income', 'income', pendapatan, 'net_expense', 'expense', beban)
+               as (series, label, value)"""
+        ),
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def _ledger_series(books: Books, params: DashboardParams) -> DataFrame:
     """``(series, place, day, label, value)`` of the seven ledger series.
 
-    Each row of the base goes to the series it feeds. One empty row per fixed label
-    joins them before the final sum, which gives the label its place and, where there
-    were no entries, its 0.
+    One empty row per fixed label joins the points before a last sum over this small
+    table. It gives the label its place and, where there were no entries, its 0.
     """
-    fed = ", ".join(
-        f"if(feeds & {1 << i} != 0, '{series}', null)"
-        for i, series in enumerate(_series_conditions(params))
-    )
-    net_label = " ".join(f"when '{series}' then '{label}'" for series, label in _NET_LABELS.items())
-    entries = (
-        ledger_base(books, params)
-        .selectExpr(f"explode(array_compact(array({fed}))) as series", "*")
-        .selectExpr(
-            "series",
-            "if(series = 'income', posting_date, null) as day",
-            f"case series when 'income' then null {net_label} else parent_account end as label",
-            "debit",
-            "credit",
-            "net",
-        )
-    )
+    if books.chart.fits_broadcast(_wanted_accounts(books, params)):
+        points = _from_shared_pass(books, params)
+    else:
+        points = _from_separate_passes(books, params)
+    fixed_labels = {
+        "cash_cur": params.cash_categories,
+        "cash_prev": params.cash_categories,
+        "expense_cur": params.expense_categories,
+        "expense_prev": params.expense_categories,
+        **{series: (label,) for series, label in _NET_LABELS.items()},
+    }
     places = pa.Table.from_pylist(
         [
             {"series": series, "place": place, "label": label}
-            for series, labels in _fixed_labels(params).items()
+            for series, labels in fixed_labels.items()
             for place, label in enumerate(labels, start=1)
         ]
     )
-    empty = entries.sparkSession.createDataFrame(places, "series string, place int, label string")
-    value = F.when(F.col("series").isin(list(_NET_LABELS)), net_of_sums(entries)).otherwise(
-        F.sum("net")
-    )
+    empty = points.sparkSession.createDataFrame(places, "series string, place int, label string")
     return (
-        entries.unionByName(empty.coalesce(1), allowMissingColumns=True)
+        points.unionByName(empty.coalesce(1), allowMissingColumns=True)
         .groupBy("series", "day", "label")
-        .agg(F.max("place").alias("place"), value.alias("value"))
+        .agg(F.max("place").alias("place"), F.sum("value").alias("value"))
         .withColumn("value", F.expr("if(place is null, value, coalesce(value, 0))"))
     )
 

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Accounts are copied to every executor only while they stay below this size.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
 
-# What a hashed row costs beside its text: row header, three fixed slots, map entry.
+# What a hashed row costs beside its text: row header, four fixed slots, map entry.
 _ROW_OVERHEAD_BYTES = 100
 
 
@@ -77,21 +77,33 @@ class ChartOfAccounts:
         most_rows = self.broadcast_limit_bytes // self.widest_row_bytes
         return self.rows <= most_rows or selected.limit(most_rows + 1).count() <= most_rows
 
+    def label(self, ledger: DataFrame, selected: DataFrame) -> DataFrame:
+        """Inner join of ledger rows with accounts that fit a broadcast.
+
+        Ledger rows are dropped or labelled where they are read; none is shuffled. The
+        lookup goes by a 64-bit hash of the name, since Spark probes a map of longs
+        several times faster than one of strings. Names themselves are then compared,
+        so that equal hashes cannot mix accounts up. That comparison is spelled as a
+        range, because an equality would become part of the lookup key again.
+        """
+        copies = F.broadcast(selected.withColumn("name_hash", F.xxhash64("name")))
+        same_hash = F.xxhash64("account") == F.col("name_hash")
+        same_name = F.col("account").between(F.col("name"), F.col("name"))
+        return ledger.join(copies, same_hash & same_name).drop("name", "name_hash")
+
     def attach(self, ledger: DataFrame, selected: DataFrame, sums: Sequence[str]) -> DataFrame:
         """Inner join of ledger rows with the ``selected`` accounts on the account name.
 
         ``sums`` are the ledger columns that the caller is going to add up. All other
         columns are keys.
 
-        Small selection: it is broadcast, and ledger rows are dropped or labelled where
-        they are read. Large selection: the ledger is first summed per key, with partial
-        sums before the shuffle, so that an account with a large part of all entries
-        arrives at the join as a few rows and not as a hot partition.
+        A small selection is broadcast. For a large one, the ledger is first summed per
+        key, with partial sums before the shuffle, so that an account with a large part
+        of all entries arrives at the join as a few rows and not as a hot partition.
+        With the account as the only key, the join reuses the shuffle of that sum.
         """
         if self.fits_broadcast(selected):
-            right = F.broadcast(selected)
-        else:
-            keys = [c for c in ledger.columns if c not in sums]
-            ledger = ledger.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
-            right = selected
-        return ledger.join(right, F.col("account") == F.col("name")).drop("name")
+            return self.label(ledger, selected)
+        keys = [c for c in ledger.columns if c not in sums]
+        summed = ledger.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
+        return summed.join(selected, F.col("account") == F.col("name")).drop("name")

@@ -4,6 +4,7 @@ from datetime import date, datetime
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerbeam import operators as op
@@ -151,3 +152,15 @@ def test_erp_tables_through_a_catalog(spark):
         ("headcount", label): D(1),
         ("net_income", "income"): D(-7),
     }
+
+
+def test_accounts_with_equal_hashes_stay_apart(spark, monkeypatch):
+    from ledgerbeam.sources import chart
+
+    monkeypatch.setattr(chart.F, "xxhash64", lambda column: F.length(column).cast("bigint"))
+    books = make_books(
+        spark,
+        [entry("till", 5, 0), entry("safe", 2, 0), entry("bank", 1, 0), entry("none", 9, 0)],
+    )
+    got = rows(op.account_balance(books.gl_entry, books.chart, ["CASH", "BANK"], "2020"))
+    assert got == [("till", "CASH", D(5)), ("safe", "CASH", D(2)), ("bank", "BANK", D(1))]
