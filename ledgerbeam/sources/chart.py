@@ -100,10 +100,12 @@ class ChartOfAccounts:
         A small selection is broadcast. For a large one, the ledger is first summed per
         key, with partial sums before the shuffle, so that an account with a large part
         of all entries arrives at the join as a few rows and not as a hot partition.
-        With the account as the only key, the join reuses the shuffle of that sum.
+        With the account as the only key, the join reuses the shuffle of that sum. The
+        merge hint keeps Spark from broadcasting after all, on the word of a file size
+        that compression has made small.
         """
         if self.fits_broadcast(selected):
             return self.label(ledger, selected)
         keys = [c for c in ledger.columns if c not in sums]
         summed = ledger.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
-        return summed.join(selected, F.col("account") == F.col("name")).drop("name")
+        return summed.join(selected.hint("merge"), F.col("account") == F.col("name")).drop("name")

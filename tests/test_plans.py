@@ -9,9 +9,15 @@ from ledgerbeam.plans import dashboard_series
 from ledgerbeam.sources import open_books, write_books
 from tests.helpers import plan_of
 
+JOINED = set(driver.PLANS) - {
+    "sales_paid_daily",
+    "purchase_paid_daily",
+    "headcount_by_join_date",
+    "top_customers_by_payment",
+}
+
 
 def executed(df):
-    df.write.format("noop").mode("overwrite").save()
     df.collect()
     return plan_of(df).split("== Initial Plan ==")[0]
 
@@ -37,19 +43,27 @@ def test_small_chart_is_broadcast_and_ledger_rows_are_not_shuffled(star_books):
     assert "hashpartitioning" not in below and "partial_sum" not in below
 
 
-def test_large_chart_meets_a_ledger_already_summed_per_account(spark, star_books):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = plan_of(
-            driver.PLANS["cash_balance_by_account"](star_books.with_broadcast_limit(0), driver.PARAMS)
-        )
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "BroadcastHashJoin" not in plan
+@pytest.mark.parametrize("name", sorted(JOINED))
+def test_large_chart_meets_a_ledger_already_summed_per_account(star_books, name):
+    plan = plan_of(driver.PLANS[name](star_books.with_broadcast_limit(0), driver.PARAMS))
     below = plan[plan.index("SortMergeJoin") :]
+    assert "BroadcastHashJoin" not in below
     assert "partial_sum" in below
 
 
+def test_join_with_a_large_chart_reuses_the_shuffle_of_the_sum(star_books):
+    books = star_books.with_broadcast_limit(0)
+    plan = plan_of(driver.PLANS["cash_balance_by_account"](books, driver.PARAMS))
+    assert plan.count("hashpartitioning") == 2  # the summed ledger and the chart
+
+
+@pytest.mark.parametrize("name", sorted(JOINED))
+def test_small_chart_is_looked_up_by_hash(star_books, name):
+    plan = plan_of(driver.PLANS[name](star_books, driver.PARAMS))
+    assert "BroadcastHashJoin [xxhash64(account" in plan
+    assert "SortMergeJoin" not in plan
+
+
 @pytest.fixture(scope="module")
 def stored(spark, star_books, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("layout") / "books")
