@@ -32,7 +32,8 @@ _GL_ENTRY = """gl_entry as (
 
 _SALES_INVOICE = """sales_invoice as (
   select cast(o_orderdate as date) as posting_date, cast(o_totalprice as decimal(18,2)) as total,
-         case o_orderstatus when 'F' then 'Paid' when 'P' then 'Overdue' else 'Unpaid' end as status
+         case o_orderstatus when 'F' then 'Paid' when 'P' then 'Overdue'
+                            else 'Unpaid' end as status
   from orders)"""
 
 _PURCHASE_INVOICE = """purchase_invoice as (
@@ -52,7 +53,6 @@ _EXPENSE = """expense_category as (
     (5, 'Brand#18'), (6, 'Brand#19'), (7, 'Brand#20'), (8, 'Brand#21'), (9, 'Brand#22'))
     v(ord, parent_account))"""
 
-# the categories of SURVEY parameters as IN lists
 _CASH_IN = "('Brand#11', 'Brand#12', 'Brand#13')"
 _EXPENSE_IN = (
     "('Brand#14', 'Brand#15', 'Brand#16', 'Brand#17', 'Brand#18', "
@@ -97,7 +97,8 @@ left join prev on prev.parent_account = c.parent_account"""
 
 
 def _root_totals(root_type: str, year: str) -> str:
-    return f"""select cast(sum(g.debit) as double) as debit, cast(sum(g.credit) as double) as credit,
+    return f"""select cast(sum(g.debit) as double) as debit,
+       cast(sum(g.credit) as double) as credit,
        cast(sum(g.debit) - sum(g.credit) as double) as net
 from account a join gl_entry g on a.name = g.account
 where a.root_type = '{root_type}' and g.fiscal_year = '{year}'"""
@@ -122,7 +123,8 @@ _DAY_SERIES = """select '{series}' as series,
   cast(row_number() over (order by day nulls first) as integer) as ord,
   strftime(day, '%d/%m/%Y') as label, cast(value as double) as value from ({rows}) t"""
 
-_PLACE_SERIES = """select '{series}' as series, cast(c.ord as integer) as ord, c.parent_account as label,
+_PLACE_SERIES = """select '{series}' as series, cast(c.ord as integer) as ord,
+  c.parent_account as label,
   cast(coalesce(t.total, 0) as double) as value
   from {category} c left join {totals} t on t.parent_account = c.parent_account"""
 
@@ -169,8 +171,11 @@ def _dashboard() -> str:
   order by total_annual desc nulls last, customer nulls last) as integer),
   customer, cast(total_annual as double) from top_customers"""
     )
-    parts.append(f"select 'net_income', cast(1 as integer), 'income', cast({_net('Income')} as double)")
-    parts.append(f"select 'net_expense', cast(1 as integer), 'expense', cast({_net('Expense')} as double)")
+    parts += [
+        f"""select 'net_{root.lower()}', cast(1 as integer), '{root.lower()}',
+  cast({_net(root)} as double)"""
+        for root in ("Income", "Expense")
+    ]
     return _with(ctes, "\nunion all\n".join(parts))
 
 
@@ -189,7 +194,8 @@ where a.parent_account = 'Brand#1' group by g.posting_date, a.parent_account""",
         ),
         "top_customers_by_payment": _with(
             (_GL_ENTRY,),
-            f"select customer, cast(total_annual as double) as total_annual from ({_TOP_CUSTOMERS}) t",
+            f"""select customer, cast(total_annual as double) as total_annual
+from ({_TOP_CUSTOMERS}) t""",
         ),
         "cash_balance_by_account": _with(_LEDGER, _balances(_CASH_IN, _YEAR_CUR, "total")),
         "cash_balance_by_account_prev": _with(_LEDGER, _balances(_CASH_IN, _YEAR_PREV, "total")),

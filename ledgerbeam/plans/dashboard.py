@@ -23,17 +23,10 @@ from ledgerbeam.operators.totals import income_vs_expense
 from ledgerbeam.plans.params import DashboardParams
 from ledgerbeam.sources.books import Books
 
-# The ledger series, those with one net amount, and the latter's labels.
-_SERIES = (
-    "income",
-    "cash_cur",
-    "cash_prev",
-    "expense_cur",
-    "expense_prev",
-    "net_income",
-    "net_expense",
-)
+# The ledger series, and the labels of those with a single net amount.
+_CATEGORY_SERIES = ("cash_cur", "cash_prev", "expense_cur", "expense_prev")
 _NET_LABELS = {"net_income": "income", "net_expense": "expense"}
+_SERIES = ("income", *_CATEGORY_SERIES, *_NET_LABELS)
 _BIT = {series: 1 << i for i, series in enumerate(_SERIES)}
 
 
@@ -116,9 +109,10 @@ def _from_shared_pass(books: Books, params: DashboardParams) -> DataFrame:
     """``(series, day, label, value)``: each row of the base goes to the series it feeds."""
     fed = ", ".join(f"if(feeds & {bit} != 0, '{series}', null)" for series, bit in _BIT.items())
     parent = F.get(F.lit(_listed_parents(params)), F.col("parent_no") - 1)
-    label = F.when(F.col("series").isin("cash_cur", "cash_prev", "expense_cur", "expense_prev"), parent)
+    label = F.when(F.col("series").isin(list(_CATEGORY_SERIES)), parent)
     for series, name in _NET_LABELS.items():
         label = label.when(F.col("series") == series, name)
+    is_net = F.col("series").isin(list(_NET_LABELS))
     return (
         ledger_base(books, params)
         .selectExpr(f"explode(array_compact(array({fed}))) as series", "*")
@@ -131,8 +125,7 @@ def _from_shared_pass(books: Books, params: DashboardParams) -> DataFrame:
         )
         .withColumn(
             "value",
-            F.when(F.col("series").isin(list(_NET_LABELS)), F.expr("if(both_sides, of_sides, null)"))
-            .otherwise(F.col("of_rows")),
+            F.when(is_net, F.expr("if(both_sides, of_sides, null)")).otherwise(F.col("of_rows")),
         )
         .select("series", "day", "label", "value")
     )

@@ -54,7 +54,8 @@ class ChartOfAccounts:
                 f"account name {facts['duplicate']!r} is not unique; "
                 "joined sums would count its entries more than once"
             )
-        return cls(named, facts["rows"], facts["widest"] + _ROW_OVERHEAD_BYTES, broadcast_limit_bytes)
+        widest = facts["widest"] + _ROW_OVERHEAD_BYTES
+        return cls(named, facts["rows"], widest, broadcast_limit_bytes)
 
     def with_broadcast_limit(self, limit_bytes: int) -> ChartOfAccounts:
         return replace(self, broadcast_limit_bytes=limit_bytes)

@@ -53,7 +53,8 @@ def _sales_invoice(orders: DataFrame) -> DataFrame:
     return orders.selectExpr(
         "cast(o_orderdate as date) as posting_date",
         "cast(o_totalprice as decimal(18,2)) as total",
-        "case o_orderstatus when 'F' then 'Paid' when 'P' then 'Overdue' else 'Unpaid' end as status",
+        """case o_orderstatus when 'F' then 'Paid' when 'P' then 'Overdue'
+                else 'Unpaid' end as status""",
     )
 
 
