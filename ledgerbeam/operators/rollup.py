@@ -14,10 +14,16 @@ from ledgerbeam.functions import net_amount
 from ledgerbeam.sources.chart import ChartOfAccounts
 
 
-def category_frame(spark: SparkSession, categories: Sequence[str]) -> DataFrame:
-    """``(ord, parent_account)``, one row per category, held in a single partition."""
+def check_categories(categories: Sequence[str]) -> None:
+    if not categories:
+        raise ValueError("no categories given")
     if len(set(categories)) != len(categories):
         raise ValueError(f"categories repeat: {list(categories)}")
+
+
+def category_frame(spark: SparkSession, categories: Sequence[str]) -> DataFrame:
+    """``(ord, parent_account)``, one row per category, held in a single partition."""
+    check_categories(categories)
     rows = pa.table({"ord": range(1, len(categories) + 1), "parent_account": list(categories)})
     return spark.createDataFrame(rows, "ord int, parent_account string").coalesce(1)
 

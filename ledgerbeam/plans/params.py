@@ -3,6 +3,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
+from ledgerbeam.operators.rollup import check_categories
+
 
 @dataclass(frozen=True)
 class DashboardParams:
@@ -21,6 +23,10 @@ class DashboardParams:
     income_root: str = "Income"
     expense_root: str = "Expense"
 
+    def __post_init__(self) -> None:
+        check_categories(self.cash_categories)
+        check_categories(self.expense_categories)
+
 
 # The chart of accounts and the years of the original dashboard.
 RUPIAH_2020 = DashboardParams(

@@ -125,6 +125,15 @@ def test_repeated_category_is_refused(spark):
         _rollup(b, ["CASH", "CASH"])
 
 
+@pytest.mark.parametrize("bad", [(), ("CASH", "BANK", "CASH")])
+def test_dashboard_refuses_category_lists_it_could_not_show(bad):
+    from dataclasses import replace
+
+    for field in ("cash_categories", "expense_categories"):
+        with pytest.raises(ValueError, match="categories"):
+            replace(PARAMS, **{field: bad})
+
+
 def test_entries_without_an_account_are_dropped(books_of):
     b = books_of([entry("nowhere", 1, 0), entry(None, 1, 0), entry("till", 2, 0)])
     assert rows(op.account_balance(b.gl_entry, b.chart, ["CASH"], "2020")) == [
