@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerbeam.llm.common import stored, text_of
+from ledgerbeam.llm.common import map_batches, stored, text_of
 from ledgerbeam.llm.words import word_encoder
 
 CAPACITY = 2048
@@ -188,7 +188,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) ->
             )
 
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return narrow.mapInArrow(work, PIECES)
+    return map_batches(narrow, work, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -239,7 +239,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
         "ids_crc32",
         (F.col("base") + F.col("nth")).alias("rank"),
     )
-    return ranked.mapInArrow(
+    return map_batches(
+        ranked,
         place,
         "doc_id long, piece int, start long, length long, ids_crc32 long, "
         "sequence_id long, offset long",

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +54,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_sent_to: set[str] = set()
+
+
+@cache
+def _packed() -> str:
+    """This package as a zip file, made once by the driver."""
+    package = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="ledgerbeam-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    return str(path)
+
+
+def map_batches(df: DataFrame, work: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow``, after Spark has sent this package to the executors' Python."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _sent_to:
+        context.addPyFile(_packed())
+        _sent_to.add(context.applicationId)
+    return df.mapInArrow(work, schema)
+
+
 def text_of(docs: DataFrame) -> Column:
     """The document's text; a missing one counts as empty."""
     return F.coalesce(docs["text"], F.lit(""))
@@ -61,10 +89,11 @@ def row_hash(docs: DataFrame) -> Column:
 
 def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose ``(doc_id, row_hash)`` is in ``chosen``, with the columns
-    of ``docs`` alone. ``chosen`` is narrow, so texts move once and by a spread key."""
+    of ``docs`` alone. Texts move once, by a spread key, and are not sorted: the hash table
+    is made of ``chosen``, which is narrow."""
     keys = chosen.select(
         F.col("doc_id").alias("chosen_doc_id"), F.col("row_hash").alias("chosen_row_hash")
-    )
+    ).hint("shuffle_hash")
     same = docs["doc_id"].eqNullSafe(keys["chosen_doc_id"])
     return docs.join(keys, same & (row_hash(docs) == keys["chosen_row_hash"]), "left_semi")
 

@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerbeam.llm import best_fit, exact_dedup, sharding, url_filter
+from ledgerbeam.llm import (
+    best_fit,
+    exact_dedup,
+    jaccard_join,
+    sharding,
+    toxicity,
+    url_filter,
+)
 from ledgerbeam.llm.common import read_table
 
 
@@ -32,6 +39,15 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read_table(spark, sf_dir, "documents")).drop("row_hash")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.progressive_dedup(
         read_table(spark, sf_dir, "documents"), hash_all=True
@@ -51,6 +67,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": op2_url_filter,
+        "op3_toxicity": op3_toxicity,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op10_sharding": op10_sharding,
