@@ -12,6 +12,7 @@ from ledgerbeam.llm import (
     exact_dedup,
     jaccard_join,
     sharding,
+    surrogates,
     toxicity,
     url_filter,
 )
@@ -32,6 +33,7 @@ URL_RULES = (
     url_filter.Rule("block", "net", "/es/"),
     url_filter.Rule("block", "net", "/fr/"),
 )
+SURROGATE_KEY = "ledgerbeam"  # give a secret one in production
 SHARDS = tuple(f"shard-{n:03d}" for n in range(128))
 
 
@@ -54,6 +56,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("row_hash")
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_entities(docs, SURROGATE_KEY, "entities")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(
         read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")
@@ -70,6 +77,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_surrogates": op7_surrogates,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op10_sharding": op10_sharding,
     }
