@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerbeam.llm import (
+    ann,
     best_fit,
     exact_dedup,
     jaccard_join,
+    pieces,
     sharding,
     surrogates,
+    token_output,
     toxicity,
     url_filter,
 )
@@ -37,6 +40,10 @@ SURROGATE_KEY = "ledgerbeam"  # give a secret one in production
 SHARDS = tuple(f"shard-{n:03d}" for n in range(128))
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -56,6 +63,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("row_hash")
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = token_output.packed_matrices(
+        read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken")
+    )
+    return packed.select(
+        "sequence_id",
+        "n_tokens",
+        "doc_ids",
+        "starts",
+        "cu_seqlens",
+        F.crc32("ids").alias("ids_crc32"),
+        F.crc32("positions").alias("positions_crc32"),
+    )
+
+
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.replace_entities(docs, SURROGATE_KEY, "entities")
@@ -67,18 +89,27 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(
+        read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read_table(spark, sf_dir, "documents"), "doc_id", SHARDS)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_learned_partitions": op1_learned_partitions,
         "op2_url_filter": op2_url_filter,
         "op3_toxicity": op3_toxicity,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_token_output": op6_token_output,
         "op7_surrogates": op7_surrogates,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_piece_codec": op9_piece_codec,
         "op10_sharding": op10_sharding,
     }
 
