@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,24 +21,8 @@ from ledgerbeam.llm import (
     url_filter,
 )
 from ledgerbeam.llm.common import read_table
-
-
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-# The rules that the URL filter is asked to apply.
-URL_RULES = (
-    url_filter.Rule("allow", "com", "/"),
-    url_filter.Rule("block", "example.com", "/en/"),
-    url_filter.Rule("allow", "www.example.com", "/en/"),
-    url_filter.Rule("block", "net", "/es/"),
-    url_filter.Rule("block", "net", "/fr/"),
-)
-SURROGATE_KEY = "ledgerbeam"  # give a secret one in production
-SHARDS = tuple(f"shard-{n:03d}" for n in range(128))
+from ledgerbeam.llm.oracles import ORACLES
+from ledgerbeam.llm.params import SHARDS, SURROGATE_KEY, URL_RULES, tokenizer_path
 
 
 def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +96,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_piece_codec": op9_piece_codec,
         "op10_sharding": op10_sharding,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
