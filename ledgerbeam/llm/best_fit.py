@@ -64,13 +64,36 @@ class Complements:
         return None
 
 
+    def largest(self, room: int) -> int:
+        """The largest available length of at most ``room``, or 0."""
+        found = np.flatnonzero(self.available[1 : room + 1])
+        return int(found[-1]) + 1 if len(found) else 0
+
+    def exact(self, length: int, capacity: int) -> tuple[int, ...] | None:
+        """A pattern around ``length`` without room to spare. Where no complement of three
+        reaches, the largest items are added until one does."""
+        taken, room = [length], capacity - length
+        self.available[length] -= 1
+        rest: tuple[int, ...] | None = ()
+        while room and not (rest := self.fill(room)):
+            largest = self.largest(room)
+            if not largest:
+                break
+            self.available[largest] -= 1
+            taken.append(largest)
+            room -= largest
+        for x in taken:
+            self.available[x] += 1
+        return None if room and not rest else (*taken, *(rest or ()))
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """How to pack ``counts[x]`` items of each length x: patterns and how often each is used.
 
-    From the largest length down: as long as one to three available lengths fill the gap
-    beside it exactly, that pattern is used as often as the counts allow. What has no
-    complement is a residual. Residuals are packed best fit, largest first, all bins with
-    the same room at once. The work depends on the number of lengths, not of items.
+    From the largest length down: as long as available lengths fill the gap beside it
+    exactly, that pattern is used as often as the counts allow. What has no complement is
+    a residual. Residuals are packed best fit, largest first, all bins with the same room
+    at once. The work depends on the number of lengths, not of items.
     """
     index = Complements(np.asarray(counts, dtype=np.int64))
     available = index.available
@@ -78,14 +101,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int,
     residual: list[tuple[int, int]] = []
     for length in range(capacity, 0, -1):
         while available[length]:
-            gap = capacity - length
-            if gap == 0:
-                pattern: tuple[int, ...] | None = (length,)
-            else:
-                available[length] -= 1
-                rest = index.fill(gap)
-                available[length] += 1
-                pattern = (length, *rest) if rest else None
+            pattern = index.exact(length, capacity)
             if pattern is None:
                 residual.append((length, int(available[length])))
                 available[length] = 0
