@@ -41,8 +41,8 @@ def banding(similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int
     most that ``MOST_HASHES`` allows are taken."""
     best = None
     for rows in range(1, 17):
-        miss = 1 - similarity**rows
-        bands = max(1, math.ceil(math.log(1 - recall) / math.log(miss))) if miss > 0 else 1
+        meet = similarity**rows
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-meet)) if meet < 1 else 1
         if bands * rows <= MOST_HASHES:
             best = (bands, rows)
     if best is None:

@@ -19,7 +19,7 @@ LONGEST_SAMPLED = 20_000  # characters; longer documents are scored, but not fit
 WORDS, GRAMS = 20_000, 20_000  # most frequent ones of the sample that have vectors
 WORD_DIM, GRAM_DIM, HIDDEN = 8, 8, 8
 WINDOW, STRIDE = 64, 48  # words; each window shares 16 with the next
-EPOCHS, BATCH, RATE = 4, 64, 0.01
+EPOCHS, STEPS, BATCH, RATE = 4, 200, 64, 0.01  # at least so many epochs and so many steps
 DOUBT = 4.0  # how many documents a word's or 4-gram's first log-odds are held back by
 THRESHOLD = 0.3
 
@@ -334,7 +334,8 @@ def train(texts: Sequence[str | None], toxic: Sequence[int], rate: float, seed:
     net = _initial(fit, fit_target, rng)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS * BATCH // max(1, len(fit) + int((fit_target == 0).sum()))))
+    for epoch in range(epochs):
         scorer = Scorer(net)
         ids, owner = scorer.windows(fit)
         spelt = [None, None, *scorer.ids]
@@ -359,7 +360,7 @@ def train(texts: Sequence[str | None], toxic: Sequence[int], rate: float, seed:
                 m += 0.1 * (g[k] - m)
                 v += 0.001 * (g[k] ** 2 - v)
                 size = np.sqrt(v / (1 - 0.999**step)) + 1e-8
-                net.p[k] -= (RATE * (1 - epoch / EPOCHS) * m / (1 - 0.9**step) / size).astype(
+                net.p[k] -= (RATE * (1 - epoch / epochs) * m / (1 - 0.9**step) / size).astype(
                     np.float32
                 )
     asked = np.flatnonzero(aside) if len(set(target[aside])) == 2 else np.arange(len(words))

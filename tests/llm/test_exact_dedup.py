@@ -1,0 +1,86 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+from ledgerbeam.llm import exact_dedup
+from tests.llm.helpers import documents, ordered, table
+
+
+def brute(rows):
+    """Row by row in Python: (doc_id, keep_id, group_size, text_sha256)."""
+    plain = [re.sub("[\x20\x09-\x0d]", "", t or "") for _, t in rows]
+    groups = {}
+    for (i, t), p in zip(rows, plain, strict=True):
+        groups.setdefault(p, []).append((-len(t or ""), (i is not None, i or 0), i))
+    return [
+        (i, min(groups[p])[2], len(groups[p]), hashlib.sha256(p.encode()).hexdigest())
+        for (i, _), p in zip(rows, plain, strict=True)
+    ]
+
+
+def random_rows(n=400):
+    rng = random.Random(3)
+    bodies = ["", "a", "a b", "é ü", "x" * 70 + "1", "x" * 70 + "2", "long " * 400, "tab\tnew\nline"]
+    rows = []
+    for i in range(n):
+        body = rng.choice(bodies[:3] if i % 3 == 0 else [*bodies, f"one of a kind {i}"])
+        spaced = "".join(c + rng.choice(["", "", " ", "\n", "\x0b", "\r"]) for c in body)
+        rows.append((i, spaced))
+    return [*rows, (n, None), (n + 1, None), (n + 2, "\u00a0"), (None, "a"), (None, "alone, no id")]
+
+
+def test_equals_brute_force_on_a_hot_group(spark):
+    rows = random_rows()
+    got = exact_dedup.progressive_dedup(documents(spark, rows), hash_all=True)
+    columns = ("doc_id", "keep_id", "group_size", "text_sha256")
+    want = sorted(brute(rows), key=lambda r: tuple((v is not None, str(type(v)), v) for v in r))
+    assert ordered(got, *columns) == want
+    assert got.filter("kept").count() == len({r[3] for r in want})
+    assert got.filter("kept AND NOT doc_id <=> keep_id").isEmpty()
+
+
+def test_full_content_is_hashed_for_surviving_groups_only(spark):
+    rows = [(1, "ab"), (2, "a b"), (3, "xy"), (4, "longer than the rest")]
+    got = exact_dedup.progressive_dedup(documents(spark, rows))
+    found = {r["doc_id"]: (r["keep_id"], r["kept"], r["text_sha256"] is None) for r in got.collect()}
+    assert found == {
+        1: (2, False, False),
+        2: (2, True, False),
+        3: (3, True, True),
+        4: (4, True, True),
+    }
+    same = exact_dedup.progressive_dedup(documents(spark, random_rows()))
+    both = exact_dedup.progressive_dedup(documents(spark, random_rows()), hash_all=True)
+    columns = ("doc_id", "keep_id", "group_size", "kept")
+    assert ordered(same, *columns) == ordered(both, *columns)
+
+
+def test_prefixes_that_agree_are_told_apart(spark):
+    head = "p" * 200
+    got = exact_dedup.progressive_dedup(documents(spark, [(1, head + "a"), (2, head + "b")]))
+    assert got.filter("kept").count() == 2
+
+
+def test_repeated_rows_keep_one_and_other_columns_stay(spark):
+    docs = documents(spark, [(1, "same"), (1, "same"), (2, "s a m e"), (2, "s a m e"), (3, None)])
+    decided = exact_dedup.progressive_dedup(docs)
+    assert decided.count() == 5
+    assert ordered(decided.filter("kept"), "doc_id", "group_size") == [(2, 4), (3, 1)]
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert ordered(kept, "doc_id", "text", "key") == [(2, "s a m e", "clash"), (3, None, "clash")]
+
+
+def test_empty_table(spark):
+    docs = documents(spark, [])
+    assert exact_dedup.progressive_dedup(docs).count() == 0
+    assert exact_dedup.keep_first(docs).count() == 0
+
+
+def test_whole_documents(spark):
+    docs = table(spark, "documents")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    kept = {r["doc_id"] for r in exact_dedup.keep_first(docs).collect()}
+    assert kept == {keep for _, keep, _, _ in brute(rows)}

@@ -1,0 +1,121 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import defaultdict
+
+import pytest
+
+from ledgerbeam.llm import components, jaccard_join as jj
+from tests.llm.helpers import documents, ordered, table
+
+
+def ngrams(text):
+    words = re.findall(r"\w+", (text or "").lower())
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else None
+
+
+def brute(rows, similarity=0.8):
+    """All pairs of classes: (doc_id, class_id, links, group_id), for distinct doc_ids."""
+    classes, of = {}, {}
+    for i, t in sorted(rows):
+        words = tuple(re.findall(r"\w+", (t or "").lower()))
+        of[i] = classes.setdefault(words, i) if words else i
+    sets = {of[i]: ngrams(t) for i, t in rows if ngrams(t)}
+    links, parent = defaultdict(int), {i: i for i in of}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    holders = defaultdict(list)
+    for i in sorted(sets):
+        near = defaultdict(int)
+        for g in sets[i]:
+            for j in holders[g]:
+                near[j] += 1
+            holders[g].append(i)
+        for j, shared in near.items():
+            if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return sorted((i, of[i], links[of[i]], find(of[i])) for i in of)
+
+
+def edited(words, rng, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return words
+
+
+def planted(seed=1):
+    rng = random.Random(seed)
+    texts = []
+    for g in range(30):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([3, 6, 30, 120, 400]))]
+        for _ in range(rng.randint(1, 6)):
+            texts.append(" ".join(edited(base, rng, rng.choice([0, 0, 1, 2, 6]))))
+        texts.append(" ".join(base).upper() + " !")
+    texts += ["", None, "...", "one", "ONE.", "two words"]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+COLUMNS = ("doc_id", "class_id", "links", "group_id")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equals_brute_force(spark, seed):
+    rows = planted(seed)
+    got = jj.jaccard_join(documents(spark, rows))
+    assert ordered(got, *COLUMNS) == brute(rows)
+    assert {r["doc_id"] for r in got.filter("kept").collect()} == {g for *_, g in brute(rows)}
+
+
+def test_hot_bucket_is_dealt_over_cells_and_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jj, "CELL", 8)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(edited(base, rng, rng.choice([1, 2, 3])))) for i in range(120)]
+    rows += [(1000 + i, " ".join(base)) for i in range(60)]
+    assert ordered(jj.jaccard_join(documents(spark, rows)), *COLUMNS) == brute(rows)
+
+
+def test_banding_reaches_the_target():
+    bands, rows = jj.banding(0.8, 0.9999)
+    assert bands * rows <= jj.MOST_HASHES
+    assert 1 - (1 - 0.8**rows) ** bands >= 0.9999
+    with pytest.raises(ValueError):
+        jj.banding(0.01, 0.999999)
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i + 1, i) for i in range(100, 140)] + [(i, 7) for i in range(200, 260)] + [(5, 5), (259, 90), (90, 3)]
+    random.Random(1).shuffle(edges)
+    got = dict(ordered(components.connected(spark.createDataFrame(edges, "node long, root long")), "node", "label"))
+    assert {got[i] for i in range(100, 141)} == {100}
+    assert {got[i] for i in [*range(200, 260), 7, 90, 3]} == {3}
+
+
+def test_repeated_rows_missing_ids_and_nothing(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "A B C D E F"), (2, None), (2, None), (3, "z")]
+    docs = documents(spark, rows)
+    got = jj.jaccard_join(docs)
+    assert got.count() == len(rows)
+    assert ordered(got.filter("kept"), "doc_id", "group_id") == [(None, None), (2, 2), (2, 2), (3, 3)]
+    kept = jj.keep_one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert ordered(kept, "doc_id", "text", "n") == [
+        (None, "A B C D E F", "clash"), (2, None, "clash"), (3, "z", "clash"),
+    ]
+    assert jj.jaccard_join(documents(spark, [])).count() == 0
+
+
+def test_whole_documents(spark):
+    docs = table(spark, "documents", "0.01")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert ordered(jj.jaccard_join(docs), *COLUMNS) == brute(rows)

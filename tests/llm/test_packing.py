@@ -1,0 +1,219 @@
+from __future__ import annotations
+
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from ledgerbeam.llm import best_fit, token_output
+from ledgerbeam.llm.params import tokenizer_path
+from ledgerbeam.llm.words import WordEncoder
+from tests.llm.helpers import documents, ordered, table
+
+WORDS = tokenizer_path("word_bpe_49k.json")
+RANKS = tokenizer_path("byte_bpe_50k.tiktoken")
+
+ODD = [
+    "", " ", "\n\t\r", "Hello  world", "it's DON'T we'll 'S", "<|endoftext|> x<|startoftext|>y <|x|> <|",
+    "a\x1cb\x1dc\x85d\xa0e\x0bf\x0cg", "ΑΣ ΑΣΑ İstanbul ǅ ß", "日本語 é ́x e\u0301", "\x00\x7f\xad",
+    "👍🏽 हिन्दी", "½ ² 3rd 12345", "x" * 3000, "\u2003wide\u3000", "naïve ÑandÚ, çà!", " lead and trail ",
+    "a \n b\n\nc   d", "\ufeffbom", "\u200bzero",
+]
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return WordEncoder(WORDS)
+
+
+def whole(encoder, text):
+    ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    return np.array(ids, dtype="<u4").tobytes()
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_remembered_words_give_the_tokenizers_ids(encoder, text):
+    assert encoder.ids(text) == whole(encoder, text)
+    assert encoder.ids(text) == whole(encoder, text)  # now from memory
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_any_text_gives_the_tokenizers_ids(text):
+    encoder = best_fit.word_encoder(WORDS)
+    text = text.encode("utf-8", "replace").decode()
+    assert encoder.ids(text) == whole(encoder, text)
+
+
+def test_memory_is_bounded():
+    from ledgerbeam.llm.words import Remembered
+
+    memory = Remembered(10)
+    for i in range(1000):
+        memory.put(str(i), b"x")
+    memory.put("long" * 100, b"x")
+    assert len(memory.young) <= 10 and len(memory.old) <= 10 and "999" in memory.young
+
+
+def fewest(lengths, capacity):
+    """The least number of bins, by trying all ways to place small inputs."""
+    best = [len(lengths)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for j in sorted(set(range(len(rooms))), key=lambda j: rooms[j]):
+            if rooms[j] >= lengths[i]:
+                place(i + 1, [*rooms[:j], rooms[j] - lengths[i], *rooms[j + 1 :]])
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def used(lengths, capacity):
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    patterns = best_fit.plan(counts, capacity)
+    spent = Counter(x for p, n in patterns for x in p for _ in range(n))
+    assert spent == Counter(lengths)
+    assert all(sum(p) <= capacity for p, _ in patterns)
+    return sum(n for _, n in patterns)
+
+
+def test_plan_is_close_to_the_fewest():
+    rng = random.Random(5)
+    over = 0
+    for _ in range(60):
+        lengths = sorted((rng.randint(1, 20) for _ in range(9)), reverse=True)
+        over += used(lengths, 20) - fewest(lengths, 20)
+    assert 0 <= over <= 4
+
+
+def test_exact_complements_are_used_first():
+    patterns = dict(best_fit.plan(np.bincount([10, 10, 6, 4, 7, 2, 1, 9], minlength=11), 10))
+    assert patterns[(10,)] == 2
+    assert patterns[(9, 1)] == 1
+    assert used([5] * 1_000 + [5] * 1_001, 10) == 1_001  # one length with itself
+    assert used([4, 3, 2, 1] * 1_000, 10) == 1_000
+
+
+def test_plan_of_many_items_meets_the_bound():
+    rng = np.random.default_rng(1)
+    lengths = np.clip(rng.lognormal(6, 1, 200_000).astype(int), 1, 2048).tolist()
+    assert used(lengths, 2048) <= -(-sum(lengths) // 2048) + 1
+
+
+def check_packed(rows, encoder, docs, capacity):
+    by_doc, by_sequence = {}, {}
+    for doc_id, piece, start, length, crc, sequence, offset in rows:
+        by_doc.setdefault(doc_id, []).append((piece, start, length, crc))
+        by_sequence.setdefault(sequence, []).append((offset, length))
+    for places in by_sequence.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    for doc_id, text in docs.items():
+        ids = whole(encoder, text or "") + b"\0\0\0\0"
+        parts = [ids[i : i + 4 * capacity] for i in range(0, len(ids), 4 * capacity)]
+        want = [(n, n * capacity, len(p) // 4, zlib.crc32(p)) for n, p in enumerate(parts)]
+        assert sorted(by_doc[doc_id]) == want
+    return len(by_sequence)
+
+
+COLUMNS = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def test_pack_odd_texts(spark, encoder):
+    docs = dict(enumerate([None, *ODD]))
+    got = best_fit.pack(documents(spark, docs.items()), WORDS, 64)
+    check_packed(ordered(got, *COLUMNS), encoder, docs, 64)
+
+
+def test_pack_whole_documents_meets_the_bound(spark, encoder):
+    df = table(spark, "documents")
+    docs = {r["doc_id"]: r["text"] for r in df.collect()}
+    rows = ordered(best_fit.pack(df, WORDS), *COLUMNS)
+    sequences = check_packed(rows, encoder, docs, 2048)
+    assert sequences <= -(-sum(r[3] for r in rows) // 2048) + 2
+
+
+def test_pack_repeats_and_nothing(spark):
+    got = best_fit.pack(documents(spark, [(1, "a b"), (1, "a b"), (None, "c")]), WORDS)
+    assert [r[:2] for r in ordered(got, "doc_id", "length")] == [(None, 2), (1, 3), (1, 3)]
+    assert best_fit.pack(documents(spark, []), WORDS).count() == 0
+
+
+# Token output
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab' \n\t\x1c\x85\xa0é1.,日"), max_size=40))
+def test_rank_encoder_equals_the_library(text):
+    encoder = token_output.rank_encoder(RANKS)
+    want = [*encoder.encoding.encode_ordinary(text), encoder.end]
+    assert encoder.ids(text).tolist() == want
+    assert encoder.ids(text).tolist() == want
+
+
+def naive_best_fit(lengths, capacity):
+    bins = []
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        fitting = [b for b in bins if b[0] >= lengths[i]]
+        if fitting:
+            least = min(b[0] for b in fitting)
+            b = [b for b in fitting if b[0] == least][-1]
+        else:
+            b = [capacity, 0]
+            bins.append(b)
+        b[0] -= lengths[i]
+    return sorted(b[0] for b in bins)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 33), max_size=60))
+def test_segment_tree_packs_as_a_linear_search(lengths):
+    bins = token_output.best_fit_decreasing(lengths, 33)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    assert sorted(33 - sum(lengths[i] for i in b) for b in bins) == naive_best_fit(lengths, 33)
+
+
+def test_matrices_round_trip(spark, tmp_path):
+    docs = dict(enumerate([None, *ODD, "word " * 500]))
+    capacity = 96
+    packed = token_output.packed_matrices(documents(spark, docs.items()), RANKS, capacity)
+    token_output.write_matrices(packed, str(tmp_path / "packed"))
+    encoder = token_output.rank_encoder(RANKS)
+    found = {}
+    rows = spark.read.parquet(str(tmp_path / "packed")).collect()
+    assert len({r["sequence_id"] for r in rows}) == len(rows)
+    matrix = np.frombuffer(b"".join(r["ids"] for r in rows), "<i4").reshape(-1, capacity)
+    for ids, r in zip(matrix, rows, strict=True):
+        positions = np.frombuffer(r["positions"], "<i4")
+        ends = r["cu_seqlens"]
+        assert ends[0] == 0 and ends[-1] == r["n_tokens"] <= capacity
+        assert (ids[r["n_tokens"] :] == encoder.end).all()
+        for doc, start, a, b in zip(r["doc_ids"], r["starts"], ends, ends[1:], strict=False):
+            assert positions[a:b].tolist() == list(range(b - a))
+            found.setdefault(doc, []).append((start, ids[a:b].tolist()))
+        assert positions[r["n_tokens"] :].tolist() == list(range(capacity - r["n_tokens"]))
+    for doc, text in docs.items():
+        pieces = sorted(found[doc])
+        assert [s for s, _ in pieces] == [i * capacity for i in range(len(pieces))]
+        ids = [t for _, p in pieces for t in p]
+        assert ids.pop() == encoder.end
+        assert encoder.encoding.decode_bytes(ids).decode() == (text or "")
+
+
+def test_matrices_of_nothing_and_of_repeats(spark):
+    assert token_output.packed_matrices(documents(spark, []), RANKS).count() == 0
+    got = token_output.packed_matrices(documents(spark, [(7, "a")] * 3).coalesce(1), RANKS)
+    assert [r["doc_ids"] for r in got.collect()] == [[7, 7, 7]]

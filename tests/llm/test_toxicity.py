@@ -1,0 +1,127 @@
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerbeam.llm import toxicity as tx
+from tests.llm.helpers import documents, ordered, shape, table
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 112, 113, 500, 1000])
+def test_windows_cover_every_word_and_overlap(n):
+    starts = tx.window_starts(n)
+    covered = {i for s in starts for i in range(s, min(n, s + tx.WINDOW))}
+    assert covered == set(range(n))
+    assert all(0 < b - a <= tx.STRIDE for a, b in zip(starts, starts[1:], strict=False))
+    assert n <= tx.WINDOW or starts[-1] == n - tx.WINDOW
+
+
+def small_network():
+    rng = np.random.default_rng(0)
+    texts = [["good", "day", "day", "sun"], ["bad", "day", "worse"]] * 4
+    return tx._initial(texts, np.array([0, 1] * 4, dtype=np.float32), rng), texts
+
+
+def test_gradients_equal_differences():
+    net, _ = small_network()
+    for k in net.p:
+        net.p[k] = net.p[k].astype(np.float64)
+    found = ["good", "bad", "day", "unheard"]
+    ids = np.array([[2, 3, 4, 5, 4], [4, 4, 3, tx._PAD, tx._PAD], [5, tx._PAD, tx._PAD, tx._PAD, tx._PAD]])
+    target = np.array([1.0, 0.0, 1.0])
+    _, g = net.gradients(found, ids, target)
+    rng = np.random.default_rng(1)
+    for name, value in net.p.items():
+        flat = value.ravel()
+        for at in rng.choice(len(flat), size=min(6, len(flat)), replace=False):
+            old, losses = flat[at], []
+            for by in (1e-2, -1e-2):
+                flat[at] = old + by
+                losses.append(net.gradients(found, ids, target)[0])
+            flat[at] = old
+            assert abs((losses[0] - losses[1]) / 2e-2 - g[name].ravel()[at]) < 2e-3, name
+
+
+def test_padding_and_company_do_not_change_a_score():
+    net, _ = small_network()
+    texts = ["good day", "bad " * 200, "", None, "day sun worse " * 30]
+    together = tx.Scorer(net).scores(texts)
+    alone = np.concatenate([tx.Scorer(net).scores([t]) for t in texts])
+    assert np.allclose(together, alone, atol=1e-6)
+    assert together[2] == together[3]
+
+
+def corpus(n, seed):
+    rng = random.Random(seed)
+    common = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(n):
+        words = rng.choices(common, k=rng.randint(5, 400))
+        toxic = rng.random() < 0.2
+        if toxic:
+            for _ in range(1 + len(words) // 60):
+                words.insert(rng.randrange(len(words)), rng.choice(["scumbag", "zorklow", "zorkly", f"zork{i}"]))
+        rows.append((i, " ".join(words), int(toxic)))
+    return rows
+
+
+def test_held_out_accuracy(spark):
+    rows = corpus(1500, 1)
+    docs = documents(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame(
+        [(i, y, "clash") for i, _, y in rows] + [(None, 1, ""), (0, None, "")],
+        "doc_id long, toxic int, text string",
+    )
+    got = tx.score(docs, tx.fit(docs, labels, per_class=400)).collect()
+    assert len(got) == len(rows)
+    truth = {i: y for i, _, y in rows}
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+    unseen = [r for r in got if r["held_out"]]
+    right = sum(r["predicted"] == truth[r["doc_id"]] for r in unseen)
+    assert right / len(unseen) > 0.97
+
+
+def test_held_out_labels_are_never_learnt(spark):
+    rows = corpus(200, 2)
+    docs = documents(spark, [(i, t) for i, t, _ in rows])
+
+    def scores(flip):
+        labels = spark.createDataFrame(
+            [(i, 1 - y if flip and zlib.crc32(str(i).encode()) % 4 == 2 else y) for i, _, y in rows],
+            "doc_id long, toxic int",
+        )
+        return ordered(tx.score(docs, tx.fit(docs, labels, 60)), "doc_id", "score")
+
+    assert scores(False) == scores(True)
+
+
+def test_odd_rows_and_empty_tables(spark):
+    docs = documents(spark, [(1, None), (2, ""), (2, ""), (None, "x"), (3, "y " * 50_000)])
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    net = tx.fit(docs, none)
+    got = tx.score(docs, net)
+    assert [r[0] for r in ordered(got, "doc_id", "score")] == [None, 1, 2, 2, 3]
+    assert got.filter("predicted = 1 OR score IS NULL OR held_out IS NULL").isEmpty()
+    assert tx.score(documents(spark, []), net).count() == 0
+    kept = tx.keep_clean(docs, net)
+    assert kept.columns == docs.columns and kept.count() == 5
+
+
+def test_toxic_documents_go_whole(spark):
+    docs, labels = table(spark, "documents", "0.1"), table(spark, "labels", "0.1")
+    net = tx.fit(docs, labels)
+    scored = tx.score(docs, net)
+    kept = tx.keep_clean(docs, net)
+    assert shape(kept) == shape(docs)
+    clean = {r["doc_id"] for r in scored.filter("predicted = 0").collect()}
+    assert {r["doc_id"] for r in kept.collect()} == clean
+    judged = scored.filter("held_out").join(labels.select("doc_id", "toxic"), "doc_id")
+    wrong = judged.filter(F.col("predicted") != F.col("toxic")).count()
+    assert wrong / judged.count() < 0.03
+
