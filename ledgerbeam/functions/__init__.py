@@ -7,9 +7,12 @@ from ledgerbeam.functions.columns import (
     in_calendar_month,
     in_month_of_year,
     money_scale,
+    month_number,
     net_amount,
     net_of_sums,
     same_text,
+    stored_name,
+    text_key,
 )
 
 __all__ = [
@@ -19,7 +22,10 @@ __all__ = [
     "in_calendar_month",
     "in_month_of_year",
     "money_scale",
+    "month_number",
     "net_amount",
     "net_of_sums",
     "same_text",
+    "stored_name",
+    "text_key",
 ]

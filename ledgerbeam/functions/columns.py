@@ -36,9 +36,37 @@ def net_of_sums(ledger: DataFrame, where: Column | None = None) -> Column:
     return side("debit") - side("credit")
 
 
-def same_text(column: str, text: str) -> Column:
-    """Equality that ignores case and trailing spaces, for hand-typed status values."""
-    return F.lower(F.rtrim(F.col(column))) == text.rstrip(" ").lower()
+def text_key(column: str) -> Column:
+    """Text as it is compared when case and trailing spaces do not count."""
+    return F.lower(F.rtrim(F.col(column)))
+
+
+def same_text(column: str, text: str, table: DataFrame | None = None) -> Column:
+    """Equality that ignores case and trailing spaces, for hand-typed status values.
+
+    If ``table`` stores the column's key, that is compared: a plain equality, which
+    reaches the scan."""
+    wanted = text.rstrip(" ").lower()
+    stored = stored_name(column)
+    if table is not None and stored in table.columns:
+        return F.col(stored) == wanted
+    return text_key(column) == wanted
+
+
+# Columns that the stored layout adds to a table, by the column that they are made of.
+_STORED_NAMES = {"status": "status_key", "posting_date": "posting_month"}
+
+
+def stored_name(column: str) -> str | None:
+    return _STORED_NAMES.get(column)
+
+
+def month_number(column: str, table: DataFrame | None = None) -> Column:
+    """The month of a date; the stored one, if ``table`` has it, so that files are skipped."""
+    stored = stored_name(column)
+    if table is not None and stored in table.columns:
+        return F.col(stored)
+    return F.month(column)
 
 
 def as_of_date(as_of: date | None) -> Column:
@@ -46,22 +74,31 @@ def as_of_date(as_of: date | None) -> Column:
     return F.current_date() if as_of is None else F.lit(as_of)
 
 
-def in_month_of_year(column: str, as_of: date | None, offset: int = 0) -> Column:
+def in_month_of_year(
+    column: str, as_of: date | None, offset: int = 0, table: DataFrame | None = None
+) -> Column:
     """Month number equals that of ``as_of`` plus ``offset``, in any year.
 
-    The number does not wrap: one month before January is 0 and matches nothing.
+    The number does not wrap: one month before January is 0 and matches nothing. Give the
+    ``table`` that is filtered, and a month that it stores is used.
     """
-    return F.month(column) == F.month(as_of_date(as_of)) + offset
+    return month_number(column, table) == F.month(as_of_date(as_of)) + offset
 
 
-def in_calendar_month(column: str, as_of: date | None, offset: int = 0) -> Column:
+def in_calendar_month(
+    column: str, as_of: date | None, offset: int = 0, table: DataFrame | None = None
+) -> Column:
     """Within the calendar month that lies ``offset`` months from ``as_of``.
 
-    A plain range on the bare column, so Parquet can skip row groups with it.
+    A plain range on the bare column, so Parquet can skip row groups with it, and with a
+    month that ``table`` stores, so that Spark skips files.
     """
-    first = F.trunc(as_of_date(as_of), "MM")
+    first = F.add_months(F.trunc(as_of_date(as_of), "MM"), offset)
     day = F.col(column)
-    return (day >= F.add_months(first, offset)) & (day < F.add_months(first, offset + 1))
+    inside = (day >= first) & (day < F.add_months(first, 1))
+    if table is not None and stored_name(column) in table.columns:
+        inside = inside & (month_number(column, table) == F.month(first))
+    return inside
 
 
 def day_label(column: str) -> Column:

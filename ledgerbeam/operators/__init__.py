@@ -1,7 +1,11 @@
-"""The dashboard's operators: DataFrames in, one lazy DataFrame out.
+"""The dashboard's operators: DataFrames in, one DataFrame out.
 
-Sums stay exact decimals. Every grouping sums before it shuffles, so no operator
-moves raw rows and a hot key costs no more than any other.
+Sums stay exact decimals, and every grouping sums before it shuffles. With a chart of
+accounts that fits a broadcast, operators are lazy, none moves ledger rows, and a hot key
+costs no more than any other. Beyond the broadcast limit an operator runs one job over the
+account table when it first meets a selection of accounts, to measure it. Selections that
+are too large are shuffled: against one row per account, or, for sums per day, against the
+entries themselves, where adaptive execution splits hot accounts.
 """
 
 from ledgerbeam.operators.balances import (

@@ -51,7 +51,7 @@ def account_balance_month(
     All years are added together, and the month before January is empty; see
     ``account_balance_calendar_month`` for a true month.
     """
-    return _balances(gl, chart, parents, in_month_of_year("posting_date", as_of, offset), name)
+    return _balances(gl, chart, parents, in_month_of_year("posting_date", as_of, offset, gl), name)
 
 
 def account_balance_calendar_month(
@@ -63,4 +63,4 @@ def account_balance_calendar_month(
     name: str = "total_kas",
 ) -> DataFrame:
     """Balance of one calendar month of one year for each account below ``parents``."""
-    return _balances(gl, chart, parents, in_calendar_month("posting_date", as_of, offset), name)
+    return _balances(gl, chart, parents, in_calendar_month("posting_date", as_of, offset, gl), name)

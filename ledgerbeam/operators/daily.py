@@ -20,7 +20,7 @@ def total_per_day(
 ) -> DataFrame:
     """``daily_total`` without its sort, for use inside a larger plan."""
     return (
-        invoices.filter(same_text("status", status))
+        invoices.filter(same_text("status", status, invoices))
         .groupBy(date_col)
         .agg(F.sum(value_col).alias(name))
     )

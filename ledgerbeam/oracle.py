@@ -180,6 +180,18 @@ def _dashboard() -> str:
 
 
 def oracle_queries() -> dict[str, str]:
+    queries = _queries()
+    lists = f"""select series, list(label order by ord) as labels, list("value" order by ord) as "values"
+from ({queries["dashboard_series"]}) s group by series"""
+    large = ("income_daily", "expense_category_rollup", "dashboard_series")
+    return (
+        queries
+        | {"dashboard_lists": lists}
+        | {f"{name}_large_chart": queries[name] for name in large}
+    )
+
+
+def _queries() -> dict[str, str]:
     return {
         "sales_paid_daily": _with((_SALES_INVOICE,), _paid_daily("sales_invoice", "total_si")),
         "purchase_paid_daily": _with(

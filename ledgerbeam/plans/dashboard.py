@@ -2,8 +2,9 @@
 
 Seven of the series come from the ledger joined to the chart of accounts. When the
 accounts they need fit a broadcast, they share one scan: ``ledger_base`` reduces the
-ledger to a small table from which all seven are read. Otherwise each pair of series has
-a pass of its own, whose filters and single shuffle key a shared pass could not have.
+ledger to a small table from which all seven are read. Otherwise there are two passes:
+the six series without a date need nothing but sums by account, which go through the
+shuffle as one row each; only income per day sends its entries through it.
 """
 
 from __future__ import annotations
@@ -15,13 +16,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerbeam.functions import day_label, in_month_of_year, money_scale
+from ledgerbeam.functions import (
+    day_label,
+    in_calendar_month,
+    in_month_of_year,
+    money_scale,
+    net_amount,
+)
 from ledgerbeam.operators.daily import count_per_day, ledger_per_day, total_per_day
 from ledgerbeam.operators.parties import top_parties
-from ledgerbeam.operators.rollup import category_totals
-from ledgerbeam.operators.totals import income_vs_expense
 from ledgerbeam.plans.params import DashboardParams
 from ledgerbeam.sources.books import Books
+from ledgerbeam.sources.chart import Selection
 
 # The ledger series, and the labels of those with a single net amount.
 _CATEGORY_SERIES = ("cash_cur", "cash_prev", "expense_cur", "expense_prev")
@@ -43,10 +49,11 @@ def _listed_parents(params: DashboardParams) -> list[str]:
     return [params.income_parent, *params.cash_categories, *params.expense_categories]
 
 
-def _wanted_accounts(books: Books, params: DashboardParams) -> DataFrame:
-    """``(name, parent_no, may_feed)`` of the accounts that any ledger series reads.
+def _wanted_accounts(params: DashboardParams) -> Selection:
+    """``(name, label)`` of the accounts that any ledger series reads.
 
-    ``parent_no`` is the place of the parent among the listed ones, 0 for any other.
+    ``label.parent_no`` is the place of the parent among the listed ones, 0 for any other;
+    ``label.may_feed`` has a bit for each series that the account counts towards.
     """
     parent, root = F.col("parent_account"), F.col("root_type")
     listed = _listed_parents(params)
@@ -58,9 +65,20 @@ def _wanted_accounts(books: Books, params: DashboardParams) -> DataFrame:
         (root == params.expense_root, _bits("net_expense")),
     )
     parent_no = F.coalesce(F.array_position(F.lit(listed), parent).cast("int"), F.lit(0))
-    wanted = parent.isin(listed) | root.isin(params.income_root, params.expense_root)
-    return books.chart.df.filter(wanted).select(
-        "name", parent_no.alias("parent_no"), may_feed.alias("may_feed")
+    roots = sorted((params.income_root, params.expense_root))
+    return Selection(
+        ("dashboard", tuple(listed), *roots),
+        parent.isin(listed) | root.isin(roots),
+        F.struct(parent_no.alias("parent_no"), may_feed.alias("may_feed")).alias("label"),
+    )
+
+
+def _expense_months(books: Books, params: DashboardParams) -> tuple[Column, Column]:
+    """This month's entries and the month's before, by number or by calendar."""
+    month = in_calendar_month if params.calendar_months else in_month_of_year
+    return (
+        month("posting_date", params.as_of, 0, books.gl_entry),
+        month("posting_date", params.as_of, -1, books.gl_entry),
     )
 
 
@@ -81,17 +99,21 @@ def ledger_base(books: Books, params: DashboardParams) -> DataFrame:
     The wanted accounts have to fit a broadcast.
     """
     year = F.col("fiscal_year")
+    this_month, month_before = _expense_months(books, params)
     row_feeds = _either(
         (F.lit(True), _bits("income")),
         (year == params.fiscal_year, _bits("cash_cur", "net_income", "net_expense")),
         (year == params.prior_fiscal_year, _bits("cash_prev")),
-        (in_month_of_year("posting_date", params.as_of), _bits("expense_cur")),
-        (in_month_of_year("posting_date", params.as_of, -1), _bits("expense_prev")),
+        (this_month, _bits("expense_cur")),
+        (month_before, _bits("expense_prev")),
+    )
+    entries = books.gl_entry.select(
+        "account", "posting_date", "debit", "credit", row_feeds.alias("row_feeds")
     )
-    entries = books.gl_entry.select("account", "posting_date", "fiscal_year", "debit", "credit")
     return (
-        books.chart.label(entries, _wanted_accounts(books, params))
-        .withColumn("feeds", row_feeds.bitwiseAND(F.col("may_feed")))
+        books.chart.label(entries, _wanted_accounts(params).of(books.chart))
+        .select("*", "label.parent_no")
+        .withColumn("feeds", F.col("row_feeds").bitwiseAND(F.col("label.may_feed")))
         .filter("feeds != 0")
         .selectExpr(
             "feeds",
@@ -131,38 +153,58 @@ def _from_shared_pass(books: Books, params: DashboardParams) -> DataFrame:
     )
 
 
-def _from_separate_passes(books: Books, params: DashboardParams) -> DataFrame:
-    """``(series, day, label, value)`` out of the operators that stand for each series."""
+def _from_two_passes(books: Books, params: DashboardParams) -> DataFrame:
+    """``(series, day, label, value)`` with the ledger summed by account before its join."""
     gl, chart, year = books.gl_entry, books.chart, F.col("fiscal_year")
-    cash = {
+    this_month, month_before = _expense_months(books, params)
+    net_rows = {
         "cash_cur": year == params.fiscal_year,
         "cash_prev": year == params.prior_fiscal_year,
+        "expense_cur": this_month,
+        "expense_prev": month_before,
     }
-    expense = {
-        "expense_cur": in_month_of_year("posting_date", params.as_of),
-        "expense_prev": in_month_of_year("posting_date", params.as_of, -1),
-    }
-    def spread(categories: tuple[str, ...], measures: dict[str, Column]) -> DataFrame:
-        pairs = ", ".join(f"'{name}', {name}" for name in measures)
-        return category_totals(gl, chart, categories, measures).selectExpr(
-            f"stack({len(measures)}, {pairs}) as (series, value)", "parent_account as label"
-        )
-
-    nets = income_vs_expense(
-        gl, chart, params.fiscal_year, params.income_root, params.expense_root
+    entries = gl.filter(reduce(Column.__or__, net_rows.values())).select(
+        "account",
+        *(F.when(rows, net_amount()).alias(series) for series, rows in net_rows.items()),
+        *(F.when(year == params.fiscal_year, F.col(side)).alias(side) for side in ("debit", "credit")),
     )
-    parts = [
-        ledger_per_day(gl, chart, [params.income_parent], "value").selectExpr(
-            "'income' as series", "posting_date as day", "value"
-        ),
-        spread(params.cash_categories, cash),
-        spread(params.expense_categories, expense),
-        nets.selectExpr(
-            """stack(2, 'net_income', 'income', pendapatan, 'net_expense', 'expense', beban)
-               as (series, label, value)"""
-        ),
+    sums = [*net_rows, "debit", "credit"]
+    small = (
+        chart.attach(entries, _wanted_accounts(params), sums)
+        .groupBy("label")
+        .agg(*(F.sum(c).alias(c) for c in sums))
+    )
+    listed = F.get(F.lit(_listed_parents(params)), F.col("label.parent_no") - 1)
+    nothing = F.lit(None).cast(small.schema["cash_cur"].dataType)
+
+    def point(series: str, label: Column, value: Column, debit: Column, credit: Column) -> Column:
+        fed = F.col("label.may_feed").bitwiseAND(F.lit(_BIT[series])) != 0
+        parts = {"series": F.lit(series), "label": label, "value": value, "debit": debit, "credit": credit}
+        return F.when(fed, F.struct(*(c.alias(name) for name, c in parts.items())))
+
+    points = [point(s, listed, F.col(s), nothing, nothing) for s in net_rows]
+    points += [
+        point(s, F.lit(name), nothing, F.col("debit"), F.col("credit"))
+        for s, name in _NET_LABELS.items()
     ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    side = T.DecimalType(37, money_scale(gl))
+    net = F.sum("point.debit").cast(side) - F.sum("point.credit").cast(side)
+    undated = (
+        small.select(F.explode(F.array_compact(F.array(*points))).alias("point"))
+        .groupBy("point.series", "point.label")
+        .agg(F.sum("point.value").alias("value"), net.alias("net"))
+        .select(
+            "series",
+            "label",
+            F.when(F.col("series").isin(list(_NET_LABELS)), F.col("net"))
+            .otherwise(F.col("value"))
+            .alias("value"),
+        )
+    )
+    income = ledger_per_day(gl, chart, [params.income_parent], "value").selectExpr(
+        "'income' as series", "posting_date as day", "value"
+    )
+    return undated.unionByName(income, allowMissingColumns=True)
 
 
 def _ledger_series(books: Books, params: DashboardParams) -> DataFrame:
@@ -171,10 +213,12 @@ def _ledger_series(books: Books, params: DashboardParams) -> DataFrame:
     One empty row per fixed label joins the points before a last sum over this small
     table. It gives the label its place and, where there were no entries, its 0.
     """
-    if books.chart.fits_broadcast(_wanted_accounts(books, params)):
+    wanted = _wanted_accounts(params)
+    books.chart.measure(wanted, books.chart.under([params.income_parent]))
+    if books.chart.fits_broadcast(wanted):
         points = _from_shared_pass(books, params)
     else:
-        points = _from_separate_passes(books, params)
+        points = _from_two_passes(books, params)
     fixed_labels = {
         "cash_cur": params.cash_categories,
         "cash_prev": params.cash_categories,

@@ -8,7 +8,12 @@ from ledgerbeam.operators.rollup import check_categories
 
 @dataclass(frozen=True)
 class DashboardParams:
-    """What the dashboard shows. Category lists are in output order."""
+    """What the dashboard shows. Category lists are in output order.
+
+    Expenses are compared by month number, as on the original page: a month of all years
+    together, and nothing for the month before January. With ``calendar_months`` they are
+    those of the month of ``as_of`` and of the calendar month before it.
+    """
 
     income_parent: str
     cash_categories: tuple[str, ...]
@@ -22,6 +27,7 @@ class DashboardParams:
     paid_status: str = "paid"
     income_root: str = "Income"
     expense_root: str = "Expense"
+    calendar_months: bool = False
 
     def __post_init__(self) -> None:
         check_categories(self.cash_categories)

@@ -5,13 +5,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _as_doubles(kind: T.DataType) -> T.DataType:
+    if isinstance(kind, T.DecimalType):
+        return T.DoubleType()
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_as_doubles(kind.elementType), kind.containsNull)
+    return kind
+
+
 def published(df: DataFrame) -> DataFrame:
-    """Give exact decimal sums out as doubles, after all arithmetic is done."""
+    """Give exact decimal sums out as doubles, alone or in lists, after all arithmetic."""
     return df.select(
         *(
-            F.col(f.name).cast("double").alias(f.name)
-            if isinstance(f.dataType, T.DecimalType)
-            else F.col(f.name)
+            F.col(f.name)
+            if _as_doubles(f.dataType) == f.dataType
+            else F.col(f.name).cast(_as_doubles(f.dataType)).alias(f.name)
             for f in df.schema
         )
     )

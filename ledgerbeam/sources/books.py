@@ -6,8 +6,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ledgerbeam.functions import month_number, text_key
 from ledgerbeam.sources.chart import BROADCAST_LIMIT_BYTES, ChartOfAccounts
-from ledgerbeam.sources.schemas import MONEY, conform, table_schemas
+from ledgerbeam.sources.schemas import MONEY, STORED, conform, table_schemas
 
 # The table names under which the ERP stores its documents.
 ERP_TABLES = {
@@ -35,10 +36,14 @@ class Books:
         tables: dict[str, DataFrame],
         money: T.DecimalType = MONEY,
         broadcast_limit_bytes: int = BROADCAST_LIMIT_BYTES,
+        exact_floats: bool = False,
     ) -> Books:
         """Take the tables by name, check their types, and verify the account table."""
         shaped = {
-            name: conform(tables[name], schema) for name, schema in table_schemas(money).items()
+            name: conform(
+                tables[name], schema, exact_floats, STORED.get(name, T.StructType()).names
+            )
+            for name, schema in table_schemas(money).items()
         }
         return cls(
             sales_invoice=shaped["sales_invoice"],
@@ -61,42 +66,56 @@ class Books:
         }
 
 
-def books_from_erp(read: Callable[[str], DataFrame], money: T.DecimalType = MONEY) -> Books:
+def books_from_erp(
+    read: Callable[[str], DataFrame], money: T.DecimalType = MONEY, exact_floats: bool = False
+) -> Books:
     """Read the ERP's own tables through any Spark reader.
 
     ``read`` gets a table name, e.g. ``lambda t: spark.table(f"erp.`{t}`")`` for a
     catalog (a lake table format or Spark's JDBC catalog), or
-    ``lambda t: spark.read.jdbc(url, f"`{t}`", properties=p)``.
+    ``lambda t: spark.read.jdbc(url, f"`{t}`", properties=p)``. Amounts must be decimals
+    that ``money`` holds in full; ``exact_floats`` is explained at ``conform``.
     """
-    return Books.of({name: read(table) for name, table in ERP_TABLES.items()}, money)
+    return Books.of(
+        {name: read(table) for name, table in ERP_TABLES.items()}, money, exact_floats=exact_floats
+    )
 
 
 def write_books(books: Books, path: str) -> None:
     """Store the tables as Parquet in a layout made for the dashboard's filters.
 
-    Ledger entries are partitioned by fiscal year and sorted by date inside each file.
-    The rebalance hint lets adaptive execution cut a year that holds much of the data
-    into many files, and gather small years into few.
+    Ledger entries are partitioned by fiscal year and by the month of their date, and
+    sorted by date inside each file, so a filter by year, by month number or by calendar
+    month opens the files of those months alone. The rebalance hint lets adaptive execution
+    cut a month that holds much of the data into many files, and gather small ones.
+    Invoices get their status as it is compared, which Parquet can then skip by.
     """
     for name, df in books.tables().items():
         target = f"{path}/{name}"
+        df = df.drop(*STORED.get(name, T.StructType()).names)
         if name == "gl_entry":
             (
-                df.hint("rebalance", "fiscal_year")
-                .sortWithinPartitions("fiscal_year", "posting_date")
-                .write.partitionBy("fiscal_year")
+                df.withColumn("posting_month", month_number("posting_date"))
+                .hint("rebalance", "fiscal_year", "posting_month")
+                .sortWithinPartitions("fiscal_year", "posting_month", "posting_date")
+                .write.partitionBy("fiscal_year", "posting_month")
                 .parquet(target)
             )
+        elif name in STORED:
+            df.withColumn("status_key", text_key("status")).write.parquet(target)
         else:
             df.write.parquet(target)
 
 
 def open_books(spark: SparkSession, path: str, money: T.DecimalType = MONEY) -> Books:
     """Open what ``write_books`` stored. The explicit schemas keep ``fiscal_year`` text
-    and save the read of file footers."""
+    and save the read of file footers. Books stored before months were partitioned have to
+    be written again."""
     return Books.of(
         {
-            name: spark.read.schema(schema).parquet(f"{path}/{name}")
+            name: spark.read.schema(
+                T.StructType([*schema, *STORED.get(name, T.StructType())])
+            ).parquet(f"{path}/{name}")
             for name, schema in table_schemas(money).items()
         },
         money,

@@ -1,9 +1,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accounts are copied to every executor only while they stay below this size.
@@ -13,22 +13,42 @@ BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
 _ROW_OVERHEAD_BYTES = 100
 
 
+def _row_bytes(accounts: DataFrame) -> Column:
+    text = (F.coalesce(F.octet_length(c), F.lit(0)) for c in accounts.columns)
+    return sum(text, F.lit(_ROW_OVERHEAD_BYTES)).cast("long")
+
+
 class DuplicateAccounts(ValueError):
     """An account name occurs twice, so a join would count its entries twice."""
 
 
+@dataclass(frozen=True)
+class Selection:
+    """Accounts that a query reads. Equal ``key`` means equal accounts, so a size that was
+    measured for one query serves all that select the same."""
+
+    key: tuple
+    rows: Column  # condition on the account table
+    label: Column  # what each entry of such an account is given
+
+    def of(self, chart: ChartOfAccounts) -> DataFrame:
+        return chart.df.filter(self.rows).select("name", self.label)
+
+
 @dataclass(frozen=True)
 class ChartOfAccounts:
     """The account table, known to be unique by name and with a measured size.
 
     Ledgers are usually huge and their chart of accounts small, but nothing
-    guarantees the second. The measured size decides how ``attach`` joins.
+    guarantees the second. The measured size decides how ``attach`` joins. Of a chart that
+    is too large as a whole, each selection is measured once and remembered in ``sizes``.
     """
 
     df: DataFrame
     rows: int
-    widest_row_bytes: int
+    size_bytes: int
     broadcast_limit_bytes: int = BROADCAST_LIMIT_BYTES
+    sizes: dict[tuple, int] = field(default_factory=dict, compare=False, repr=False)
 
     @classmethod
     def verified(
@@ -36,15 +56,12 @@ class ChartOfAccounts:
     ) -> ChartOfAccounts:
         """Check uniqueness and measure the size, in one job over the account table."""
         named = df.filter(F.col("name").isNotNull())
-        text_bytes = sum(
-            (F.coalesce(F.octet_length(c), F.lit(0)) for c in named.columns), F.lit(0)
-        )
         facts = (
             named.groupBy("name")
-            .agg(F.count("*").alias("copies"), F.max(text_bytes).alias("text_bytes"))
+            .agg(F.count("*").alias("copies"), F.sum(_row_bytes(named)).alias("row_bytes"))
             .agg(
                 F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
-                F.coalesce(F.max("text_bytes"), F.lit(0)).alias("widest"),
+                F.coalesce(F.sum("row_bytes"), F.lit(0)).alias("size_bytes"),
                 F.max(F.when(F.col("copies") > 1, F.col("name"))).alias("duplicate"),
             )
             .first()
@@ -54,29 +71,47 @@ class ChartOfAccounts:
                 f"account name {facts['duplicate']!r} is not unique; "
                 "joined sums would count its entries more than once"
             )
-        widest = facts["widest"] + _ROW_OVERHEAD_BYTES
-        return cls(named, facts["rows"], widest, broadcast_limit_bytes)
+        return cls(named, facts["rows"], facts["size_bytes"], broadcast_limit_bytes)
 
     def with_broadcast_limit(self, limit_bytes: int) -> ChartOfAccounts:
         return replace(self, broadcast_limit_bytes=limit_bytes)
 
-    def under(self, parents: Sequence[str]) -> DataFrame:
+    def under(self, parents: Sequence[str]) -> Selection:
         """Accounts directly below one of the given parents (one level, no recursion)."""
-        return self.df.filter(F.col("parent_account").isin(list(parents))).select(
-            "name", "parent_account"
+        return Selection(
+            ("parents", *sorted(set(parents))),
+            F.col("parent_account").isin(list(parents)),
+            F.col("parent_account"),
         )
 
-    def of_root_types(self, root_types: Sequence[str]) -> DataFrame:
-        return self.df.filter(F.col("root_type").isin(list(root_types))).select("name", "root_type")
-
-    def fits_broadcast(self, selected: DataFrame) -> bool:
-        """Whether ``selected``, a subset of the chart, is small enough to be copied.
+    def of_root_types(self, root_types: Sequence[str]) -> Selection:
+        return Selection(
+            ("roots", *sorted(set(root_types))),
+            F.col("root_type").isin(list(root_types)),
+            F.col("root_type"),
+        )
 
-        A chart that is small as a whole needs no further look. Otherwise the selected
-        rows are counted, up to the bound and no further.
-        """
-        most_rows = self.broadcast_limit_bytes // self.widest_row_bytes
-        return self.rows <= most_rows or selected.limit(most_rows + 1).count() <= most_rows
+    def measure(self, *selections: Selection) -> None:
+        """Measure all selections that need it and are not yet known, in one job: a plain
+        sum of bytes for each. A chart that is small as a whole needs no look, nor does
+        one that nothing of may be broadcast."""
+        if self.size_bytes <= self.broadcast_limit_bytes or self.broadcast_limit_bytes <= 0:
+            return
+        unknown = {s.key: s for s in selections if s.key not in self.sizes}
+        if unknown:
+            sums = [
+                F.sum(F.when(s.rows, _row_bytes(self.df)).otherwise(0)) for s in unknown.values()
+            ]
+            self.sizes.update(zip(unknown, self.df.agg(*sums).first(), strict=True))
+
+    def fits_broadcast(self, selection: Selection) -> bool:
+        """Whether the selected accounts are few and short enough to be copied."""
+        if self.size_bytes <= self.broadcast_limit_bytes:
+            return True
+        if self.broadcast_limit_bytes <= 0:
+            return False
+        self.measure(selection)
+        return self.sizes[selection.key] <= self.broadcast_limit_bytes
 
     def label(self, ledger: DataFrame, selected: DataFrame) -> DataFrame:
         """Inner join of ledger rows with accounts that fit a broadcast.
@@ -92,21 +127,25 @@ class ChartOfAccounts:
         same_name = F.col("account").between(F.col("name"), F.col("name"))
         return ledger.join(copies, same_hash & same_name).drop("name", "name_hash")
 
-    def attach(self, ledger: DataFrame, selected: DataFrame, sums: Sequence[str]) -> DataFrame:
-        """Inner join of ledger rows with the ``selected`` accounts on the account name.
+    def attach(self, ledger: DataFrame, selection: Selection, sums: Sequence[str]) -> DataFrame:
+        """Inner join of ledger rows with the selected accounts on the account name.
 
         ``sums`` are the ledger columns that the caller is going to add up. All other
         columns are keys.
 
-        A small selection is broadcast. For a large one, the ledger is first summed per
-        key, with partial sums before the shuffle, so that an account with a large part
-        of all entries arrives at the join as a few rows and not as a hot partition.
-        With the account as the only key, the join reuses the shuffle of that sum. The
-        merge hint keeps Spark from broadcasting after all, on the word of a file size
-        that compression has made small.
+        A small selection is broadcast. For a large one, and with the account as the only
+        key, the ledger is first summed per account, with partial sums before the shuffle,
+        so that an account with a large part of all entries arrives as one row; the join
+        reuses that shuffle. With further keys such a sum would hardly shorten the ledger
+        and cost it a second shuffle: it is joined as it is, on one shuffle by account,
+        whose hot partitions adaptive execution splits, and the caller's sum starts in the
+        tasks of the join. The merge hint keeps Spark from broadcasting after all, on the
+        word of a file size that compression has made small.
         """
-        if self.fits_broadcast(selected):
+        selected = selection.of(self)
+        if self.fits_broadcast(selection):
             return self.label(ledger, selected)
         keys = [c for c in ledger.columns if c not in sums]
-        summed = ledger.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
-        return summed.join(selected.hint("merge"), F.col("account") == F.col("name")).drop("name")
+        if keys == ["account"]:
+            ledger = ledger.groupBy("account").agg(*(F.sum(c).alias(c) for c in sums))
+        return ledger.join(selected.hint("merge"), F.col("account") == F.col("name")).drop("name")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
 from datetime import date
 from decimal import Decimal
 
@@ -85,3 +87,16 @@ def by_value(records) -> list[tuple]:
 def plan_of(df: DataFrame) -> str:
     """The physical plan; run the query first to see what was really executed."""
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+@contextmanager
+def jobs(spark: SparkSession):
+    """Counts the jobs that are started inside; call the result after the block."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    found: list[int] = []
+    try:
+        yield lambda: len(found)
+    finally:
+        found += spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

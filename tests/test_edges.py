@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 from decimal import Decimal as D
 
@@ -206,8 +207,8 @@ def test_calendar_month_before_january_is_december(books_of):
     assert got == [("ads", "SELL", D(110))]
 
 
-def test_month_of_today_by_default(books_of):
-    today = date.today()
+def test_month_of_today_by_default(spark, books_of):
+    today = spark.sql("select current_date()").first()[0]  # the session's zone, not the host's
     b = books_of([entry("ads", 3, 0, day=today)])
     for operator in (op.account_balance_month, op.account_balance_calendar_month):
         assert rows(operator(b.gl_entry, b.chart, ["SELL"])) == [("ads", "SELL", D(3))]
@@ -325,3 +326,22 @@ def test_lists_run_in_step(books_of):
     got = {s: (labels, values) for s, labels, values in rows(as_lists(dashboard_series(b, PARAMS)))}
     assert got["cash_cur"] == (["CASH", "DEPOSIT", "BANK"], [D(20), D(0), D(0)])
     assert got["top_customers"] == (["A", "B"], [D(2), D(1)])
+
+
+@pytest.mark.parametrize("limit", [None, 0], ids=["shared pass", "two passes"])
+def test_dashboard_by_calendar_month_knows_december(books_of, limit):
+    days = [date(2019, 12, 1), date(2019, 12, 31), date(2020, 1, 1), date(2018, 12, 5), date(2018, 1, 9)]
+    b = books_of([entry("ads", 10**i, 0, day=d) for i, d in enumerate(days)])
+    b = b if limit is None else b.with_broadcast_limit(limit)
+
+    def expenses(p):
+        return {
+            s: v
+            for s, _, label, v in rows(dashboard_series(b, p))
+            if s.startswith("expense") and label == "SELL"
+        }
+
+    january = replace(PARAMS, as_of=date(2020, 1, 15))
+    assert expenses(january) == {"expense_cur": D(10100), "expense_prev": 0}
+    by_calendar = replace(january, calendar_months=True)
+    assert expenses(by_calendar) == {"expense_cur": D(100), "expense_prev": D(11)}

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as driver
 from ledgerbeam.plans import published
+from ledgerbeam.sources import open_books, write_books
 from tests.helpers import TESTDATA, by_value, rows
 
 # Rows and sum of the last column of each query at scale 0.001.
@@ -30,6 +31,11 @@ KNOWN = {
     "income_vs_expense": (1, -1962383.85),
     "dashboard_series": (2496, 268171206.91),
 }
+KNOWN |= {
+    f"{name}_large_chart": KNOWN[name]
+    for name in ("income_daily", "expense_category_rollup", "dashboard_series")
+}
+LISTS = "dashboard_lists"
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +50,9 @@ def other_engine():
 
 
 def test_every_query_has_sql_and_a_known_result():
-    assert set(driver.queries()) == set(driver.oracle_sql()) == set(KNOWN)
+    names = set(driver.PLANS)
+    assert names == set(KNOWN) | {LISTS}
+    assert names <= set(driver.queries()) and names <= set(driver.oracle_sql())
 
 
 @pytest.mark.parametrize("name", KNOWN)
@@ -56,10 +64,34 @@ def test_equal_to_sql(spark, other_engine, name):
     assert by_value(result) == by_value(found.fetchall())
     count, total = KNOWN[name]
     assert len(result) == count
-    last = list(zip(*result))[{"dashboard_series": 3}.get(name, len(got.columns) - 1)]
+    last = list(zip(*result))[len(got.columns) - 1]
     assert round(sum(last), 2) == total
 
 
+def test_lists_equal_sql(spark, other_engine):
+    got = {s: (a, b) for s, a, b in rows(driver.queries()[LISTS](spark, f"{TESTDATA}/sf0.001"))}
+    found = other_engine.execute(driver.oracle_sql()[LISTS])
+    assert [c[0] for c in found.description] == ["series", "labels", "values"]
+    assert got == {s: (list(a), list(b)) for s, a, b in found.fetchall()}
+    assert len(got) == 11 and all(len(a) == len(b) > 0 for a, b in got.values())
+
+
+@pytest.fixture(scope="module")
+def stored_books(spark, star_books, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("parity") / "books")
+    write_books(star_books, path)
+    return open_books(spark, path)
+
+
+@pytest.mark.parametrize("name", [*KNOWN, LISTS])
+def test_same_result_on_the_stored_layout(star_books, stored_books, name):
+    plan = driver.PLANS[name]
+    star = published(plan(star_books, driver.PARAMS))
+    stored = published(plan(stored_books, driver.PARAMS))
+    assert star.dtypes == stored.dtypes
+    assert by_value(star.collect()) == by_value(stored.collect())
+
+
 @pytest.mark.parametrize("name", KNOWN)
 def test_same_result_when_the_chart_is_too_large_to_broadcast(star_books, name):
     plan = driver.PLANS[name]

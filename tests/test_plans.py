@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from datetime import date
+
 import pytest
 
 import __spark_entry__ as driver
+from ledgerbeam import operators as op
 from ledgerbeam.plans import dashboard_series
 from ledgerbeam.sources import open_books, write_books
-from tests.helpers import plan_of
-
-JOINED = set(driver.PLANS) - {
-    "sales_paid_daily",
-    "purchase_paid_daily",
-    "headcount_by_join_date",
-    "top_customers_by_payment",
+from tests.helpers import entry, jobs, make_books, plan_of, rows
+
+JOINED = {
+    name
+    for name in driver.PLANS
+    if not name.endswith("_large_chart")
+    and name
+    not in (
+        "sales_paid_daily",
+        "purchase_paid_daily",
+        "headcount_by_join_date",
+        "top_customers_by_payment",
+    )
 }
 
 
@@ -43,7 +53,7 @@ def test_small_chart_is_broadcast_and_ledger_rows_are_not_shuffled(star_books):
     assert "hashpartitioning" not in below and "partial_sum" not in below
 
 
-@pytest.mark.parametrize("name", sorted(JOINED))
+@pytest.mark.parametrize("name", sorted(JOINED - {"income_daily"}))
 def test_large_chart_meets_a_ledger_already_summed_per_account(star_books, name):
     plan = plan_of(driver.PLANS[name](star_books.with_broadcast_limit(0), driver.PARAMS))
     below = plan[plan.index("SortMergeJoin") :]
@@ -51,6 +61,59 @@ def test_large_chart_meets_a_ledger_already_summed_per_account(star_books, name)
     assert "partial_sum" in below
 
 
+def test_sums_per_day_shuffle_the_ledger_once_before_the_join(star_books):
+    plan = plan_of(
+        driver.PLANS["income_daily"](star_books.with_broadcast_limit(0), driver.PARAMS)
+    )
+    below = plan[plan.index("SortMergeJoin") :]
+    assert "partial_sum" not in below
+    assert below.count("Exchange hashpartitioning(account") == 1
+    assert below.count("Exchange") == 2  # the ledger and the chart
+    assert "partial_sum" in plan[: plan.index("SortMergeJoin")]
+
+
+def test_hot_account_is_split(spark):
+    entries = [entry("ads", 1, 0, day=date(2020, 1, 1 + i % 28)) for i in range(4000)]
+    entries += [entry(f"a{i % 400}", 1, 0) for i in range(8000)]
+    chart = [("ads", "SELL", "Expense")] + [(f"a{i}", "SELL", "Expense") for i in range(400)]
+    books = make_books(spark, entries, chart)
+    books = replace(books, gl_entry=books.gl_entry.repartition(8))
+    held = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    }
+    for key, value in held.items():
+        spark.conf.set(key, value)
+    try:
+        per_day = op.ledger_daily(
+            books.with_broadcast_limit(0).gl_entry,
+            books.with_broadcast_limit(0).chart,
+            ["SELL"],
+            "v",
+        )
+        plan = executed(per_day)
+        assert "skew=true" in plan
+        assert rows(per_day) == rows(op.ledger_daily(books.gl_entry, books.chart, ["SELL"], "v"))
+    finally:
+        for key in held:
+            spark.conf.unset(key)
+
+
+def test_dashboard_with_a_large_chart(spark, star_books, stored):
+    whole = star_books.chart.size_bytes
+    books = replace(stored, chart=replace(stored.chart, sizes={})).with_broadcast_limit(whole // 50)
+    with jobs(spark) as started:
+        series = dashboard_series(books, driver.PARAMS)
+    assert started() <= 2  # one action; adaptive execution submits its two stages one by one
+    with jobs(spark) as started:
+        series = dashboard_series(books, driver.PARAMS)
+    assert started() == 0
+    large = executed(series)
+    assert "SortMergeJoin" in large
+    assert len(ledger_scans(large)) <= 3
+
+
 def test_join_with_a_large_chart_reuses_the_shuffle_of_the_sum(star_books):
     books = star_books.with_broadcast_limit(0)
     plan = plan_of(driver.PLANS["cash_balance_by_account"](books, driver.PARAMS))
@@ -83,6 +146,25 @@ def test_dashboard_scans_the_ledger_twice_and_sorts_nothing_globally(stored):
     assert "rangepartitioning" not in plan
 
 
+@pytest.mark.parametrize(
+    "name",
+    [
+        "expense_by_account_month",
+        "expense_by_account_prev_month",
+        "expense_by_account_prev_month_calendar",
+        "expense_category_rollup",
+    ],
+)
+def test_month_prunes_partitions(stored, name):
+    [scan] = ledger_scans(plan_of(driver.PLANS[name](stored, driver.PARAMS)))
+    assert "posting_month" in scan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+
+
+@pytest.mark.parametrize("name", ["sales_paid_daily", "purchase_paid_daily"])
+def test_status_reaches_the_scan(stored, name):
+    assert "EqualTo(status_key,paid)" in plan_of(driver.PLANS[name](stored, driver.PARAMS))
+
+
 @pytest.mark.parametrize(
     "name", ["cash_balance_by_account", "cash_category_rollup", "income_totals_cur"]
 )
