@@ -27,8 +27,10 @@ PHONE = (
 )
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7})(?![\d.-]?\d)"
-NAME = rf"(?<![\p{{L}}]){_NAME}"
-PATTERN = "|".join((EMAIL, SECRET, ADDRESS, PHONE, SOCIAL, NAME, CARD))
+_INITIALS = "".join(sorted({t[0] for t in FEMALE + MALE + NEUTRAL}))
+NAME = rf"(?=[{_INITIALS}])(?<![\p{{L}}]){_NAME}"
+# A look at the first character spares most positions the tests behind it.
+PATTERN = f"{EMAIL}|{SECRET}|(?=[0-9+(])(?:{ADDRESS}|{PHONE}|{SOCIAL}|{CARD})|{NAME}"
 
 _HEX, _CONSONANTS, _VOWELS = "0123456789abcdef", "bcdfghklmnprstvz", "aeiouaeiouaeioua"
 # Latin letters of made-up names, and what stands for them in the other scripts.
@@ -267,7 +269,10 @@ def replace_entities(docs: DataFrame, key: str, count: str | None = None) -> Dat
     """
     columns = docs.columns
     text = docs["text"]
-    has_match = F.coalesce(text.rlike(PATTERN), F.lit(False))
+    # All but names have a digit or an at sign, which most texts are quickly seen to lack.
+    has_match = F.coalesce(
+        F.when(text.rlike("[0-9@]"), text.rlike(PATTERN)).otherwise(text.rlike(NAME)), F.lit(False)
+    )
     clean = docs.filter(~has_match)
     marked = stored(
         docs.filter(has_match).select(
