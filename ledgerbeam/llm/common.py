@@ -82,6 +82,11 @@ def text_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"], F.lit(""))
 
 
+def column(df: DataFrame, name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
 def row_hash(docs: DataFrame) -> Column:
     """With ``doc_id`` the identity of a row, also where ids are missing or repeated."""
     return F.xxhash64(docs["text"])

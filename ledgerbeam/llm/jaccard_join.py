@@ -28,6 +28,7 @@ N = 5  # words of an n-gram
 SIMILARITY = 0.8
 RECALL = 0.9999  # of pairs that are just similar enough
 MOST_HASHES = 128
+MOST_WORDS = 200_000  # hashes of words that a task remembers
 CELL = 256  # members of a bucket that meet in one task at once, from each side
 
 _WORD = re.compile(r"\w+")
@@ -58,7 +59,7 @@ class Shingler:
 
     def words(self, text: str) -> np.ndarray:
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > MOST_WORDS:
             known.clear()
         found = _WORD.findall(text.lower())
         try:
@@ -314,25 +315,25 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, recall: float
     """Link the texts of ``docs`` (doc_id, text) whose ``N``-gram sets are similar.
 
     1. One scan hashes each text's n-grams into ``bands`` keys (``banding``). Texts with
-       the same words are one class, represented by its smallest doc_id.
+       the same words are copies, represented by the smallest doc_id.
     2. Keys are shuffled. Those that occur once are gone; the other buckets are dealt over
        cells of bounded size, and a pair is decided in the first band that it meets in.
     3. Only texts with a pair to decide are read again. Their full n-gram sets go to the
        cells, which give each text its number of links there and its local root: as many
        rows as members, never a row per pair.
-    4. Roots are joined into groups by label propagation.
+    4. Roots are joined into classes by label propagation.
 
-    Returned, one row per row of ``docs``: doc_id, row_hash, class_id (smallest doc_id with
+    Returned, one row per row of ``docs``: doc_id, row_hash, copy_id (smallest doc_id with
     the same words), links (number of other texts, copies counted once, with a Jaccard
-    similarity of ``similarity`` or more), group_id (smallest doc_id that links lead to)
-    and kept (one row of each group: that of group_id).
+    similarity of ``similarity`` or more), class_id (smallest doc_id that links lead to)
+    and kept (one row of each class: that of class_id).
 
     A pair just similar enough is found with probability ``recall``, a more similar one
     with a higher one; no other pair is linked, since all are verified. A text of fewer
     than ``N`` words is one n-gram. A missing or empty text, or one without words, has no
-    n-grams: it is a class of its own without links and is kept. A missing doc_id sorts
-    first. Repeated rows are copies; one of them at most is kept. Other columns are not
-    read, whatever their names.
+    n-grams: it is a copy of none, a class of its own without links, and is kept. A missing
+    doc_id sorts first. Repeated rows are copies; one of them at most is kept. Other columns
+    are not read, whatever their names.
     """
     return _joined(docs, _stored_signatures(docs, similarity, recall), similarity)
 
@@ -374,20 +375,20 @@ def _joined(docs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
         links.join(labels, "node", "left"), "node", "left"
     )
     placed = placed.withColumn("label", F.coalesce("label", "node"))
-    groups = placed.groupBy("label").agg(F.min("best").alias("first"))
-    known = placed.join(groups, "label").select("copy", "best", "first", "links")
+    classed = placed.groupBy("label").agg(F.min("best").alias("first"))
+    known = placed.join(classed, "label").select("copy", "best", "first", "links")
     alone = F.col("best").isNull()
     return signed.join(known, "copy", "left").select(
         "doc_id",
         "row_hash",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("copy_id"),
         F.coalesce("links", F.lit(0).cast("long")).alias("links"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("group_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
         (alone | (F.col("first.row") == F.col("row"))).alias("kept"),
     )
 
 
-def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
+def keep_one_of_each_class(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, whole and with all their columns."""
     signed = _stored_signatures(docs, SIMILARITY, RECALL)
     kept = _joined(docs, signed, SIMILARITY).filter("kept")

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerbeam.llm.common import column
+
 TABLE_SIZE = 65537
 
 
@@ -104,7 +106,7 @@ def write_shards(
         df.withColumn("placed_slot", slot_of(F.col(key), table_size))
         .join(F.broadcast(slots), "placed_slot")
         .withColumn("shard", names)
-        .withColumn("placed_split", F.pmod(F.xxhash64(*df.columns), F.lit(splits)))
+        .withColumn("placed_split", F.pmod(F.xxhash64(*(column(df, c) for c in df.columns)), F.lit(splits)))
     )
     (
         placed.repartition(len(shards) * splits, "shard", "placed_split")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerbeam.llm.common import stored
+from ledgerbeam.llm.common import column, stored
 
 # Titles that tell a following name, and the gender that they tell.
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "Г-жа", "Κυρία")
@@ -276,7 +276,7 @@ def replace_entities(docs: DataFrame, key: str, count: str | None = None) -> Dat
     clean = docs.filter(~has_match)
     marked = stored(
         docs.filter(has_match).select(
-            F.struct(*(docs[c] for c in columns)).alias("doc"),
+            F.struct(*(column(docs, c) for c in columns)).alias("doc"),
             F.monotonically_increasing_id().alias("row"),
         )
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 TESTDATA = "/root/testdata"
 # Names that operators use for columns of their own.
-CLASHING = ("row", "row_hash", "kept", "n", "key", "length", "label", "node", "score", "rank")
+CLASHING = ("row", "row_hash", "kept", "n", "key", "length", "label", "node", "score", "rank", "a.b")
 
 
 def documents(spark: SparkSession, rows, clashing: bool = True) -> DataFrame:

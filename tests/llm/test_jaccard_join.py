@@ -16,7 +16,7 @@ def ngrams(text):
 
 
 def brute(rows, similarity=0.8):
-    """All pairs of classes: (doc_id, class_id, links, group_id), for distinct doc_ids."""
+    """All pairs of texts: (doc_id, copy_id, links, class_id), for distinct doc_ids."""
     classes, of = {}, {}
     for i, t in sorted(rows):
         words = tuple(re.findall(r"\w+", (t or "").lower()))
@@ -65,7 +65,7 @@ def planted(seed=1):
     return list(enumerate(texts))
 
 
-COLUMNS = ("doc_id", "class_id", "links", "group_id")
+COLUMNS = ("doc_id", "copy_id", "links", "class_id")
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -106,8 +106,8 @@ def test_repeated_rows_missing_ids_and_nothing(spark):
     docs = documents(spark, rows)
     got = jj.jaccard_join(docs)
     assert got.count() == len(rows)
-    assert ordered(got.filter("kept"), "doc_id", "group_id") == [(None, None), (2, 2), (2, 2), (3, 3)]
-    kept = jj.keep_one_of_each_group(docs)
+    assert ordered(got.filter("kept"), "doc_id", "class_id") == [(None, None), (2, 2), (2, 2), (3, 3)]
+    kept = jj.keep_one_of_each_class(docs)
     assert kept.columns == docs.columns
     assert ordered(kept, "doc_id", "text", "n") == [
         (None, "A B C D E F", "clash"), (2, None, "clash"), (3, "z", "clash"),
