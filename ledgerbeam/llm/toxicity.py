@@ -26,7 +26,7 @@ THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
 _UNKNOWN, _PAD = 0, 1  # rows of the tables of words
 _SLAB = 2048  # windows scored at once
-_MOST_WORDS = 150_000  # distinct words that a Python worker remembers
+_MOST_WORDS = 80_000  # distinct words that a Python worker remembers
 
 
 def words_of(text: str | None) -> list[str]:
@@ -255,14 +255,16 @@ def _vocabulary(
 ) -> tuple[dict[str, int], np.ndarray]:
     """The most frequent parts by documents (at least three), and the log-odds of a toxic
     document that has them, drawn to zero as if ``DOUBT`` more documents had shown none."""
-    counts = (Counter(), Counter())
+    both, bad = Counter(), Counter()
     for words, y in zip(texts, target, strict=True):
-        counts[int(y)].update({p for w in set(words) for p in parts(w)})
-    both = counts[0] + counts[1]
+        found = {p for w in set(words) for p in parts(w)}
+        both.update(found)
+        if y:
+            bad.update(found)
     chosen = sorted((p for p in both if both[p] > 2), key=lambda p: (-both[p], p))[:most]
     n = np.array([max(1, (target == y).sum()) for y in (0, 1)])
     doubt = DOUBT * n / n.sum()
-    seen = np.array([[counts[y][p] for y in (0, 1)] for p in chosen]).reshape(-1, 2)
+    seen = np.array([[both[p] - bad[p], bad[p]] for p in chosen]).reshape(-1, 2)
     clean, toxic = np.log((seen + doubt) / (n + DOUBT)).T
     return {p: i + first for i, p in enumerate(chosen)}, (toxic - clean).astype(np.float32)
 
@@ -323,7 +325,8 @@ def train(texts: Sequence[str | None], toxic: Sequence[int], rate: float, seed:
     """
     rng = np.random.default_rng(seed)
     target = np.asarray(toxic, dtype=np.float32)
-    words = [words_of(t) for t in texts]
+    shared: dict[str, str] = {}  # one object per word, however often it occurs
+    words = [[shared.setdefault(w, w) for w in words_of(t)] for t in texts]
     aside = np.arange(len(words)) % 5 == 4
     if len(set(target[~aside])) < 2:  # nothing to tell apart
         net = _initial(words, target, rng)
@@ -421,7 +424,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
 def _score_batches(net, batches: Iterator[pa.RecordBatch], text: str):
     scorer = Scorer(net.value)
     for batch in batches:
-        yield batch, scorer.scores(batch[text].to_pylist())
+        parts = (batch[text].slice(at, 512) for at in range(0, batch.num_rows, 512))
+        scores = [scorer.scores(part.to_pylist()) for part in parts]
+        yield batch, np.concatenate([np.empty(0), *scores])
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:

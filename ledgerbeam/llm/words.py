@@ -7,7 +7,7 @@ from functools import cache
 
 import regex
 
-MOST_CHUNKS, MOST_WORDS = 250_000, 250_000  # remembered by generation; a worker keeps two
+MOST_CHUNKS, MOST_WORDS = 120_000, 120_000  # remembered by generation; a worker keeps two
 LONGEST_REMEMBERED = 48  # longer chunks are encoded each time, so memory stays bounded
 
 # How the vocabulary's own file describes the split into pre-tokens.
