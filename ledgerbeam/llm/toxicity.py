@@ -19,6 +19,8 @@ LONGEST_SAMPLED = 20_000  # characters; longer documents are scored, but not fit
 WORDS, GRAMS = 20_000, 20_000  # most frequent ones of the sample that have vectors
 WORD_DIM, GRAM_DIM, HIDDEN = 8, 8, 8
 WINDOW, STRIDE = 64, 48  # words; each window shares 16 with the next
+LONGEST_WORD = 64  # characters; longer runs, as of scripts without spaces, are read in segments
+SEGMENT, SEGMENT_STEP = 16, 8  # characters of a segment, each shares 8 with the next
 EPOCHS, STEPS, BATCH, RATE = 4, 200, 64, 0.01  # at least so many epochs and so many steps
 DOUBT = 4.0  # how many documents a word's or 4-gram's first log-odds are held back by
 THRESHOLD = 0.3
@@ -29,13 +31,26 @@ _SLAB = 2048  # windows scored at once
 _MOST_WORDS = 80_000  # distinct words that a Python worker remembers
 
 
+def segments_of(run: str) -> list[str]:
+    """Overlapping parts that together hold every 4-gram of a long run; the last one ends
+    with it."""
+    starts = [*range(0, len(run) - SEGMENT, SEGMENT_STEP), len(run) - SEGMENT]
+    return [run[at : at + SEGMENT] for at in starts]
+
+
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of word characters. One longer than ``LONGEST_WORD``, such as a sentence in a
+    script without spaces, counts as its segments: each is a word of its own, with its
+    4-grams and its place in the windows."""
+    words = _WORD.findall((text or "").lower())
+    if max(map(len, words), default=0) <= LONGEST_WORD:
+        return words
+    return [s for w in words for s in (segments_of(w) if len(w) > LONGEST_WORD else (w,))]
 
 
 def grams_of(word: str) -> list[str]:
     """Character 4-grams of the word within its bounds."""
-    marked = f"^{word[:64]}$"
+    marked = f"^{word}$"
     return [marked[i : i + 4] for i in range(max(1, len(marked) - 3))]
 
 
@@ -434,7 +449,8 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
     Each text is scored where it is read, over all its overlapping windows; its score comes
     from the highest. Nothing is shuffled. The network that is broadcast has at most
-    ``WORDS + GRAMS`` vectors. A missing or empty text is one empty window and gets a score
+    ``WORDS + GRAMS`` vectors. Text without spaces is read to its end, in segments that
+    count as words (``words_of``). A missing or empty text is one empty window and gets a score
     like any other. Repeated rows are scored each; a missing doc_id is not held out. Other
     columns are not read, whatever their names.
     """

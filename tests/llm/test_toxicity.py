@@ -87,6 +87,33 @@ def test_held_out_accuracy(spark):
     assert right / len(unseen) > 0.97
 
 
+@pytest.mark.parametrize("n", [65, 66, 72, 73, 80, 1000])
+def test_long_runs_are_read_whole(n):
+    run = "".join(chr(0x4E00 + i) for i in range(n))
+    words = tx.words_of(f"short {run} end")
+    assert words[0] == "short" and words[-1] == "end"
+    found = {g for w in words[1:-1] for g in tx.grams_of(w)}
+    assert {run[i : i + 4] for i in range(n - 3)} <= found
+    assert max(map(len, words)) <= tx.LONGEST_WORD and "".join(words[1:-1]).endswith(run[-3:])
+
+
+def test_toxic_part_far_inside_a_text_without_spaces():
+    rng = random.Random(4)
+
+    def run(toxic):
+        text = [chr(rng.randrange(0x4E00, 0x4E80)) for _ in range(rng.randint(100, 700))]
+        if toxic:  # nothing of it within the first 64 characters
+            at = rng.randrange(80, len(text))
+            text[at:at] = "罵詈雑言野郎"
+        return "".join(text)
+
+    labels = [i % 2 for i in range(200)]
+    net = tx.train([run(y) for y in labels], labels, 0.5)
+    asked = [i % 2 for i in range(100)]
+    scores = tx.Scorer(net).scores([run(y) for y in asked])
+    assert np.mean((scores >= 0.5) == np.array(asked)) >= 0.95
+
+
 def test_held_out_labels_are_never_learnt(spark):
     rows = corpus(200, 2)
     docs = documents(spark, [(i, t) for i, t, _ in rows])
