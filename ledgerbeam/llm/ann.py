@@ -21,12 +21,39 @@ GRAPH_DEGREE = 10
 HIDDEN = 64
 ROUTED = 0.985  # share of the sample's neighbours that the probes of a query should reach
 CELL_ROWS, CELL_QUERIES = 4096, 1024
+BLOCK = 1024  # rows whose differences from a query are held at once
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
 
 
+def reranked(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int):
+    """For each row of ``q`` its least (distance, id) pairs, ``k`` of them, over the rows of
+    ``c``, of which each has a sorted list of ids.
+
+    The expanded formula only says which rows can be among them: all whose rough value is
+    within its rounding error of the k-th smallest, however many tie. Their distances are
+    then taken from the differences, in blocks."""
+    rough = squared(q, c)
+    least = np.partition(rough, min(k, len(c)) - 1, axis=1)[:, min(k, len(c)) - 1]
+    largest = (q * q).sum(1) + (c * c).sum(1).max()
+    limit = least + 8 * (q.shape[1] + 4) * np.finfo(np.float64).eps * largest
+    first = np.array([i[0] for i in ids], dtype=np.int64)
+    for one, row, most in zip(q, rough, limit, strict=True):
+        near = np.flatnonzero(~(row > most))
+        exact = np.concatenate([
+            np.sqrt(((c[near[at : at + BLOCK]] - one) ** 2).sum(axis=1))
+            for at in range(0, len(near), BLOCK)
+        ])
+        # Of rows beyond k different pairs of distance and least id, no id can count.
+        order = np.lexsort((first[near], exact))
+        score, head = exact[order], first[near][order]
+        fresh = np.concatenate([[True], (np.diff(score) != 0) | (np.diff(head) != 0)])
+        order = order[np.cumsum(fresh) <= k]
+        yield sorted({(float(exact[j]), int(v)) for j in order for v in ids[near[j]]})[:k]
+
+
 def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
     """The nearest others of each row, by brute force over the bounded sample."""
     out = np.empty((len(x), degree), dtype=np.int64)
@@ -210,8 +237,8 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     3. Every class is put in the part that the network deems most probable. A query class
        goes to the most probable parts, as many as the sample's own neighbours needed.
     4. A part with its queries is dealt over cells of at most about ``CELL_ROWS`` by
-       ``CELL_QUERIES``; each cell reranks by distances in double precision, and the cells'
-       best are merged. Queries with the same vector share one search.
+       ``CELL_QUERIES``; each cell reranks by distances in double precision, all rows
+       that tie or nearly tie included, and the cells' best are merged. Queries with the same vector share one search.
 
     Returned: query_id, rank (from 1), vec_id, score (Euclidean distance); ties go to the
     smaller vec_id, a query's own id is left out. All others are returned where there are
@@ -287,15 +314,8 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         q = np.stack(left["vector"].to_numpy()).astype(np.float64)
         c = np.stack(right["vector"].to_numpy()).astype(np.float64)
         ids = right["ids"].to_numpy()
-        rough = squared(q, c)
-        some = min(len(c), k + 1 + 16)
-        near = np.argpartition(rough, some - 1, axis=1)[:, :some]
         keys, found, scores = [], [], []
-        for i, one in enumerate(left["key"]):
-            exact = np.sqrt(((c[near[i]] - q[i]) ** 2).sum(axis=1))
-            best = sorted(
-                (s, int(v)) for s, j in zip(exact, near[i], strict=True) for v in ids[j]
-            )[: k + 1]
+        for one, best in zip(left["key"], reranked(q, c, ids, k + 1), strict=True):
             keys += [one] * len(best)
             scores += [s for s, _ in best]
             found += [v for _, v in best]

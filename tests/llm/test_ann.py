@@ -94,3 +94,31 @@ def test_parts_are_balanced():
     assert all(len(set(g)) == 10 and i not in g for i, g in enumerate(graph))
     sizes = np.bincount(ann.balanced_parts(graph, 7, rng))
     assert len(sizes) == 7 and sizes.max() - sizes.min() <= 3
+
+
+def test_ties_of_many_vectors_go_to_the_smaller_id(spark):
+    rows = [(i * 50 % 599, [float(j == i) for j in range(599)]) for i in range(599)]  # one-hot
+    got, want = nearest(vectors(spark, rows)), brute(rows)
+    assert got == want
+    assert [v for _, v in got[300]] == list(range(10))
+
+
+def test_copies_that_differ_in_the_last_bits(spark):
+    rng = np.random.default_rng(5)
+    one = (rng.standard_normal(64) / 1000).astype(np.float32)
+    one[0] = 1
+    steps = rng.integers(-1, 2, (1000, 64))
+    steps[:, 0] = 0
+    rows = [(i, np.nextafter(one, one + s.astype(np.float32)).tolist()) for i, s in enumerate(steps)]
+    got, want = nearest(vectors(spark, rows)), brute(rows)
+    assert got.keys() == want.keys()
+    for q, near in want.items():
+        assert [v for _, v in got[q]] == [v for _, v in near]
+        assert [s for s, _ in got[q]] == pytest.approx([s for s, _ in near], rel=1e-12)
+
+
+def test_one_id_with_many_equally_far_vectors():
+    c = np.eye(40)[1:]
+    ids = np.array([[7]] * 30 + [[i] for i in range(20, 29)], dtype=object)
+    (best,) = ann.reranked(np.eye(40)[:1], c, ids, 5)
+    assert [v for _, v in best] == [7, 20, 21, 22, 23]
