@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,31 +14,62 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signo
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Г-н", "Κύριος")
 NEUTRAL = ("Dr", "Prof")
 
-_TITLES = "|".join(FEMALE + MALE + NEUTRAL)
+
+
+def _in_cases(titles: tuple[str, ...]) -> str:
+    """Also in lower case, but for the verb "miss"; in capitals, where MR and MS have other
+    meanings, with a dot."""
+    low = [t.lower() for t in titles if t != "Miss"]
+    return "|".join([*titles, *low, *(rf"{t.upper()}(?=\.)" for t in titles)])
+
+
+_TITLES = _in_cases(FEMALE + MALE + NEUTRAL)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = rf"(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?"
+_JOINED = rf"['’-](?![sS](?!\p{{L}}))(?!(?:{_TITLES})\.? \p{{Lu}})\p{{L}}++"
+_TOKEN = rf"\p{{Lu}}(?:\p{{L}}++(?:{_JOINED})*+|(?:{_JOINED})++)"
+_DOTTED = r"\p{Lu}\.(?:-?\p{Lu}\.)*+"
+_PART = rf"(?:{_DOTTED}|{_TOKEN}|\p{{Lu}}(?= \p{{Lu}}))"
+_NAME = rf"(?:{_TITLES})\.? {_PART}(?: {_PART})*+"
+_INITIAL = r"^\p{Lu}(?:\.(?:-?\p{Lu}\.)*)?$"
+# A capitalised word, which in a document may be part of a name that it has with a title.
+BARE = rf"(?<![\p{{L}}\p{{N}}]){_TOKEN}"
 
 # Every kind that is looked for. Possessive runs behind a look-behind make each word be
 # read once, whatever its length.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
-SECRET = r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])"
+SECRET = r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,}+(?![\p{L}\p{N}])"
 ADDRESS = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 PHONE = (
     r"(?<![\d+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}"
     r"|\+[2-9]\d{0,2}(?:[ .-]?\(?\d{2,4}\)?){2,4}|\(\d{3}\) ?\d{3}-\d{4})(?!\d)"
+    r"|(?<![\d+])(?<!\d[.-])(?:(?:1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+    r"|0\d{1,4}(?:[ /-]\d{2,8}){1,4})(?!\d|[.-]\d)"
 )
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-CARD = r"(?<![\d.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7})(?![\d.-]?\d)"
-_INITIALS = "".join(sorted({t[0] for t in FEMALE + MALE + NEUTRAL}))
+CARD = (
+    r"(?<![\d.-])(?:\d{13,19}|\d{4}(?<by>[ -])\d{4}\k<by>\d{4}\k<by>\d{1,7}"
+    r"|3\d{3}(?<of>[ -])\d{6}\k<of>\d{4,5})(?![\d.-]?\d)"
+)
+_INITIALS = "".join(sorted({c for t in FEMALE + MALE + NEUTRAL for c in (t[0], t[0].lower())}))
 NAME = rf"(?=[{_INITIALS}])(?<![\p{{L}}]){_NAME}"
 # A look at the first character spares most positions the tests behind it.
-PATTERN = f"{EMAIL}|{SECRET}|(?=[0-9+(])(?:{ADDRESS}|{PHONE}|{SOCIAL}|{CARD})|{NAME}"
+PATTERN = f"{EMAIL}|{SECRET}|(?=[0-9+(])(?:{ADDRESS}|{CARD}|{PHONE}|{SOCIAL})|{NAME}"
 
 _HEX, _CONSONANTS, _VOWELS = "0123456789abcdef", "bcdfghklmnprstvz", "aeiouaeiouaeioua"
 # Latin letters of made-up names, and what stands for them in the other scripts.
 _LATIN = "abcdefghiklmnoprstuvz"
 _CYRILLIC = "абцдефгхиклмнопрстувз"
 _GREEK = "αβκδεφγχικλμνοπρστυωζ"
+_CAPITALS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
+
+
+def _initials(key: str, initials: Column) -> Column:
+    """Each capital becomes another of its script, different ones different ones. These are
+    too few to be spared where they occur."""
+    for letters in _CAPITALS:
+        mixed = sorted(letters, key=lambda c: sha256(f"{key}|initial|{c}".encode()).digest())
+        initials = F.translate(initials, "".join(mixed), "".join(mixed[1:] + mixed[:1]))
+    return initials
 
 
 def kind_of(surface: Column) -> Column:
@@ -52,6 +85,8 @@ def kind_of(surface: Column) -> Column:
         .when(surface.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "address")
         .when(surface.rlike(r"^[+(]"), "phone")
         .when(surface.rlike(r"^\d{3}-\d{2}-\d{4}$"), "social")
+        .when(surface.rlike(r"^(?:1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}$"), "phone")
+        .when(surface.rlike(r"^0\d{1,4}[ /-]") & F.length(digits).between(9, 12), "phone")
         .when(
             F.length(digits).between(13, 19)
             & F.call_function("luhn_check", digits)
@@ -63,8 +98,8 @@ def kind_of(surface: Column) -> Column:
 
 def _gender(surface: Column) -> Column:
     return (
-        F.when(surface.rlike(rf"^(?:{'|'.join(FEMALE)})\.? "), "f")
-        .when(surface.rlike(rf"^(?:{'|'.join(MALE)})\.? "), "m")
+        F.when(surface.rlike(rf"^(?:{_in_cases(FEMALE)})\.? "), "f")
+        .when(surface.rlike(rf"^(?:{_in_cases(MALE)})\.? "), "m")
         .otherwise("n")
     )
 
@@ -77,12 +112,29 @@ def _script(token: Column) -> Column:
     )
 
 
+def _name_parts(surface: Column) -> Column:
+    """(kind, canon) of every token behind the title."""
+    tokens = F.split(F.regexp_replace(surface, rf"^(?:{_TITLES})\.? ", ""), " ")
+    given = F.concat_ws(":", F.lit("given"), _gender(surface))
+    return F.transform(
+        tokens,
+        lambda t, i: F.struct(
+            F.when(t.rlike(_INITIAL), F.lit("initial"))
+            .when(i < F.size(tokens) - 1, F.concat_ws(":", given, _script(t)))
+            .otherwise(F.concat_ws(":", F.lit("family"), F.lit("n"), _script(t)))
+            .alias("kind"),
+            F.when(t.rlike(_INITIAL), t).otherwise(F.lower(t)).alias("canon"),
+        ),
+    )
+
+
 def _parts(kind: Column, surface: Column) -> Column:
     """What a match refers to: (kind, canon) pairs, equal for all ways to write one entity.
 
     Names are taken token by token, so that a surname alone and the full name keep
     pointing at one person. A first token before another is a given name and has the
-    title's gender; a token alone is a surname.
+    title's gender, as have all but the last; a token alone is a surname. Initials stand for
+    no entity of their own. A token that was found without its title has its kind already.
     """
     digits = F.regexp_replace(surface, r"\D", "")
 
@@ -90,18 +142,10 @@ def _parts(kind: Column, surface: Column) -> Column:
         k = F.lit(k) if isinstance(k, str) else k
         return F.struct(k.alias("kind"), canon.alias("canon"))
 
-    tokens = F.split(F.regexp_replace(surface, rf"^(?:{_TITLES})\.? ", ""), " ")
-    named = F.transform(
-        tokens,
-        lambda t, i: one(
-            F.when(
-                (F.size(tokens) > 1) & (i == 0), F.concat_ws(":", F.lit("given"), _gender(surface), _script(t))
-            ).otherwise(F.concat_ws(":", F.lit("family"), F.lit("n"), _script(t))),
-            F.lower(t),
-        ),
-    )
+    named = _name_parts(surface)
     return (
         F.when(kind == "name", named)
+        .when(kind.rlike("^(?:given|family):"), F.array(one(kind, F.lower(surface))))
         .when(kind == "phone", F.array(one("phone", F.concat(F.when(surface.startswith("+"), "+").otherwise(""), digits))))
         .when(kind.isin("card", "social"), F.array(one(kind, digits)))
         .otherwise(F.array(one(kind, F.lower(surface))))
@@ -145,7 +189,7 @@ def candidate(key: str, kind: Column, canon: Column, attempt: int) -> Column:
     def taken(n: Column, at: int = 1) -> Column:
         return F.substring(digits, F.lit(at), n)
 
-    kept_head = F.greatest(F.length(canon) - 10, F.when(canon.startswith("+"), 1).otherwise(0))
+    kept_head = F.greatest(F.length(canon) - 10, F.when(canon.rlike("^[+0]"), 1).otherwise(0))
     phone = F.concat(
         F.substring(canon, F.lit(1), kept_head),
         number(40, 8, 2),
@@ -178,10 +222,15 @@ def candidate(key: str, kind: Column, canon: Column, attempt: int) -> Column:
         F.lit("."),
         F.substring_index(domain, ".", -1),
     )
-    twice = F.concat(digest, F.sha2(digest, 256))
+    blocks = F.sequence(F.lit(2), F.greatest(F.lit(2), F.floor(size / 64).cast("int")))
+    chained = F.concat(
+        digest,
+        F.sha2(digest, 256),
+        F.array_join(F.transform(blocks, lambda i: F.sha2(F.concat(digest, i.cast("string")), 256)), ""),
+    )
     return (
         F.when(kind == "email", email)
-        .when(kind == "secret", F.substring(twice, F.lit(1), size))
+        .when(kind == "secret", F.substring(chained, F.lit(1), size))
         .when(kind == "address", address)
         .when(kind == "phone", phone)
         .when(kind == "social", F.concat(F.lit("9"), taken(size - 1)))
@@ -238,9 +287,13 @@ def _written(kind: Column, surface: Column, made: Column) -> Column:
         "",
     )
     title = F.regexp_extract(surface, rf"^(?:{_TITLES})\.? ", 0)
-    name = F.concat(title, F.initcap(F.array_join(made, " ")))
+    # What is made of initials is in capitals already.
+    cased = F.transform(made, lambda m: F.when(m == F.upper(m), m).otherwise(F.initcap(m)))
+    name = F.concat(title, F.array_join(cased, " "))
+    bare = F.when(surface == F.upper(surface), F.upper(first)).otherwise(F.initcap(first))
     return (
         F.when(kind == "name", F.when(surface == F.upper(surface), F.upper(name)).otherwise(name))
+        .when(kind.rlike("^(?:given|family):"), bare)
         .when(kind.isin("phone", "card", "social"), in_format)
         .when((kind == "secret") & (surface == F.upper(surface)), F.upper(first))
         .otherwise(first)
@@ -256,7 +309,8 @@ def replace_entities(docs: DataFrame, key: str, count: str | None = None) -> Dat
     ones get different ones, and none that occurs as an entity itself. A surrogate has its
     entity's type and format: grouping of digits, country code, issuer digit and check
     digit, private network, top-level domain; a name's gender and script. It depends on
-    ``key`` and on the collisions alone.
+    ``key`` and on the collisions alone. A capitalised token of a name that a document has
+    behind a title is replaced in that document wherever it stands.
 
     Texts without a match are passed on where they are read. The others are stored; only
     matches are shuffled, and meet their texts again by row number. A frequent entity is
@@ -278,15 +332,36 @@ def replace_entities(docs: DataFrame, key: str, count: str | None = None) -> Dat
         docs.filter(has_match).select(
             F.struct(*(column(docs, c) for c in columns)).alias("doc"),
             F.monotonically_increasing_id().alias("row"),
+            text.rlike(NAME).alias("named"),
         )
     )
-    body = F.col("doc")["text"]
-    matches = F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0))
-    found = (
-        marked.select("row", F.posexplode(matches).alias("at", "surface"))
+    body, named = F.col("doc")["text"], F.col("named")
+    wide = f"{PATTERN}|{BARE}"
+    matches = F.when(named, F.regexp_extract_all(body, F.lit(wide), F.lit(0))).otherwise(
+        F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0))
+    )
+    plain = (
+        marked.filter(~named)
+        .select("row", F.posexplode(matches).alias("at", "surface"))
         .withColumn("kind", kind_of(F.col("surface")))
-        .filter("kind IS NOT NULL")
     )
+    # The tokens of a document's own names, with which its capitalised words are compared.
+    titled = F.filter("all", lambda m: m.rlike(rf"^(?:{_TITLES})\.? "))
+    own = F.filter(
+        F.array_distinct(F.flatten(F.transform(titled, _name_parts))), lambda p: p["kind"] != "initial"
+    )
+    same = F.filter("own", lambda p: p["canon"] == F.lower(F.col("surface")))
+    in_named = (
+        marked.filter(named)
+        .select("row", matches.alias("all"))
+        .select("row", "all", own.alias("own"))
+        .select("row", "own", F.posexplode("all").alias("at", "surface"))
+        .select(
+            "row", "at", "surface",
+            F.coalesce(kind_of(F.col("surface")), F.get(same, F.lit(0))["kind"]).alias("kind"),
+        )
+    )
+    found = plain.unionByName(in_named).filter("kind IS NOT NULL")
     surfaces = stored(
         found.select("kind", "surface")
         .distinct()
@@ -295,10 +370,17 @@ def replace_entities(docs: DataFrame, key: str, count: str | None = None) -> Dat
     pieces = surfaces.select(
         F.col("kind").alias("written_as"), "surface", F.posexplode("parts").alias("nth", "part")
     )
-    given = distinct_surrogates(pieces.select("part.kind", "part.canon").distinct(), key)
+    entities = pieces.select("part.kind", "part.canon").filter("kind <> 'initial'").distinct()
+    given = distinct_surrogates(entities, key)
     written = (
         pieces.select("written_as", "surface", "nth", "part.kind", "part.canon")
-        .join(given, ["kind", "canon"])
+        .join(given, ["kind", "canon"], "left")
+        .withColumn(
+            "surrogate",
+            F.when(F.col("kind") == "initial", _initials(key, F.col("canon"))).otherwise(
+                F.col("surrogate")
+            ),
+        )
         .groupBy("written_as", "surface")
         .agg(F.sort_array(F.collect_list(F.struct("nth", "surrogate"))).alias("made"))
         .select(
@@ -314,7 +396,7 @@ def replace_entities(docs: DataFrame, key: str, count: str | None = None) -> Dat
         .groupBy("row")
         .agg(F.map_from_entries(F.collect_list(F.struct("at", "surrogate"))).alias("swaps"))
     )
-    between = F.split(body, PATTERN, -1)
+    between = F.when(named, F.split(body, wide, -1)).otherwise(F.split(body, PATTERN, -1))
     shown = F.transform(
         matches, lambda m, i: F.coalesce(F.element_at(F.col("swaps"), i), m)
     )

@@ -60,6 +60,35 @@ def test_type_format_gender_and_script_are_kept(spark):
     assert all(map(luhn, cards)) and cards[0] == cards[1]  # one card, written in two ways
 
 
+WIDER = [
+    ("Dr. Juan Carlos Lopez left", r"Dr\. [A-Z][a-z]+s [A-Z][a-z]+s [A-Z][a-z]+r left"),
+    ("Mr. J. Smith and Mr. J.R. Smith, mrs. Anna Smith", r"Mr\. [A-Z]\. ([A-Z][a-z]+r) and Mr\. [A-Z]\.[A-Z]\. \1, mrs\. [A-Z][a-z]+na \1"),
+    ("MR. JOHN DOE", r"MR\. [A-Z]+N [A-Z]+R"),
+    ("415-555-2671 or 415.555.2671", r"(\d{3})-(\d{3})-(\d{4}) or \1\.\2\.\3"),
+    ("dial 1-800-555-0199.", r"dial 1-\d{3}-\d{3}-\d{4}\."),
+    ("dial 020 7946 0958", r"dial 0\d\d \d{4} \d{4}"),
+    ("card 3782 822463 10005", r"card 3\d{3} \d{6} \d{5}"),
+    ("key " + "0a" * 500, "key [0-9a-f]{1000}"),
+]
+
+
+def test_wider_forms(spark):
+    got = replaced(spark, *(t for t, _ in WIDER))
+    for (text, pattern), (new, _) in zip(WIDER, got, strict=True):
+        assert re.fullmatch(pattern, new), (text, new)
+        old_words = re.findall(r"[A-Z][a-z]{3,}|\d{3,}|[0-9a-f]{32,}", text)
+        assert new != text and not [w for w in old_words if w in new], (text, new)
+
+
+def test_bare_mentions_of_a_documents_own_names(spark):
+    (one, n), (other, m) = replaced(
+        spark, "Mrs. Anna Smith came. Smith's car; Anna sat, SMITH not, Smithson stood, smith works.", "Smith alone"
+    )
+    names = re.fullmatch(r"Mrs\. (\w+) (\w+) came\. (\w+)'s car; (\w+) sat, (\w+) not, Smithson stood, smith works\.", one)
+    assert names[3] == names[2] != "Smith" and names[4] == names[1] != "Anna" and names[5] == names[2].upper()
+    assert (n, other, m) == (4, "Smith alone", 0)
+
+
 def test_coreference_within_and_across_documents(spark):
     got = replaced(
         spark,
