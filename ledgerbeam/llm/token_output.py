@@ -125,7 +125,7 @@ def packed_matrices(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY)
 
     Each task tokenises its documents, cuts those longer than ``capacity`` without loss,
     and packs every ``WINDOW_TOKENS`` tokens best-fit-decreasing. Nothing is shuffled and
-    memory is bounded by the window; the price is at most one ill-filled row per window.
+    memory is bounded by the window; the price is ill-filled rows in every window.
     A task that is run again gives the same rows.
 
     Returned: sequence_id, n_tokens, ids (``capacity`` little-endian 32-bit ids, the unused
