@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,10 +22,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it.
 
-    A folder of this machine is set only where the session names none, as in tests.
+    Where the session names none, a folder of this machine serves if tasks run here too, as
+    in tests; on a cluster it would lose rows, so that is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="ledgerbeam-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -69,12 +73,42 @@ def _packed() -> str:
 
 
 def map_batches(df: DataFrame, work: Callable, schema: str | StructType) -> DataFrame:
-    """``mapInArrow``, after Spark has sent this package to the executors' Python."""
+    """``mapInArrow``, after Spark has sent this package to the executors' Python.
+
+    Columns go there by position and get their names back inside, since a name with a dot
+    would be taken for a field of a struct."""
     context = df.sparkSession.sparkContext
     if context.applicationId not in _sent_to:
         context.addPyFile(_packed())
         _sent_to.add(context.applicationId)
-    return df.mapInArrow(work, schema)
+    names = df.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return work(batch.rename_columns(names) for batch in batches)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(named, schema)
+
+
+HOT_SHARE = 4096  # a group that holds more than this part of all rows is hot
+
+
+def join_groups(
+    rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner"
+) -> DataFrame:
+    """Give each row what ``groups`` (one row per key, ``size`` rows in each) knows of its key.
+
+    Groups with more than 1/``HOT_SHARE`` of all rows, of which there are fewer than
+    ``HOT_SHARE`` in any data, are broadcast, so their rows stay where they are; the others
+    go through a shuffle, in which no key is large. ``groups`` should be a stored table, as
+    its sizes are looked at first."""
+    total, largest = groups.agg(F.sum(size), F.max(size)).first()
+    hot = F.col(size) * HOT_SHARE > F.lit(total)
+    if total is None or largest * HOT_SHARE <= total:
+        return rows.join(groups, keys, how)
+    large, small = groups.filter(hot), groups.filter(~hot)
+    near = rows.join(F.broadcast(large), keys)
+    far = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(small, keys, how)
+    return near.unionByName(far)
 
 
 def text_of(docs: DataFrame) -> Column:

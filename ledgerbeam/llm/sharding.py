@@ -91,26 +91,33 @@ def write_shards(
 
     A shard's rows are dealt over ``splits`` tasks by a hash of the whole row, so neither
     a large shard nor a hot key ends in one task. ``df`` must not have a column named
-    ``shard``.
+    ``shard``, which is the folders' name; other names are free.
     """
     if "shard" in df.columns:
         raise ValueError("the data has a column 'shard' of its own; rename it")
-    names = F.element_at(
-        F.array(*(F.lit(s) for s in shards)), F.col("placed_shard_index") + 1
-    )
+    own = _free_names(df.columns, "slot", "index", "split")
+    slot, index, split = own
+    names = F.element_at(F.array(*(F.lit(s) for s in shards)), F.col(index) + 1)
     slots = df.sparkSession.createDataFrame(
-        list(enumerate(lookup_table(shards, table_size))),
-        "placed_slot int, placed_shard_index int",
+        list(enumerate(lookup_table(shards, table_size))), f"{slot} int, {index} int"
     )
     placed = (
-        df.withColumn("placed_slot", slot_of(F.col(key), table_size))
-        .join(F.broadcast(slots), "placed_slot")
+        df.withColumn(slot, slot_of(column(df, key), table_size))
+        .withColumn(split, F.pmod(F.xxhash64(*(column(df, c) for c in df.columns)), F.lit(splits)))
+        .join(F.broadcast(slots), slot)
         .withColumn("shard", names)
-        .withColumn("placed_split", F.pmod(F.xxhash64(*(column(df, c) for c in df.columns)), F.lit(splits)))
     )
     (
-        placed.repartition(len(shards) * splits, "shard", "placed_split")
-        .drop("placed_slot", "placed_shard_index", "placed_split")
+        placed.repartition(len(shards) * splits, "shard", split)
+        .drop(*own)
         .write.partitionBy("shard")
         .parquet(path)
     )
+
+
+def _free_names(taken: Sequence[str], *wanted: str) -> list[str]:
+    """A name for each column of ours that none of the table's has, whatever the case."""
+    lead = "placed"
+    while any(c.lower().startswith(lead) for c in taken):
+        lead += "_"
+    return [f"{lead}_{name}" for name in wanted]

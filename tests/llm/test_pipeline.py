@@ -8,7 +8,8 @@ from pathlib import Path
 import corpus_pipeline
 import __spark_entry__ as driver
 from ledgerbeam.llm import toxicity
-from tests.llm.helpers import TESTDATA, shape, table
+from ledgerbeam.llm.common import stored
+from tests.llm.helpers import TESTDATA, documents, ordered, shape, table
 from tests.llm.test_exact_dedup import brute as brute_copies
 from tests.llm.test_jaccard_join import brute as brute_near
 from tests.llm.test_packing import WORDS, check_packed
@@ -75,6 +76,17 @@ def test_stages_take_an_empty_table(spark):
         assert stage(spark, docs, SF).count() == 0, name
 
 
+def test_columns_with_any_names_pass_through_all_stages(spark):
+    docs = documents(spark, [(1, "one text here"), (2, None), (3, "one  text here"), (4, "")])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert shape(after) == shape(docs), name
+        docs = stored(after)
+    assert ordered(docs, "doc_id") == [(2,), (3,)]
+    assert {r["a.b"] for r in docs.collect()} == {"clash"}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
 def test_the_rest_imports_without_the_subpackage():
     code = (
         "import sys\n"

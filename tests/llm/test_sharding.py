@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerbeam.llm import sharding
 from tests.llm.helpers import documents, ordered
@@ -71,3 +72,13 @@ def test_empty_table_and_written_shards(spark, tmp_path):
     assert ordered(back, "doc_id", "text") == ordered(docs, "doc_id", "text")
     placed = sharding.place(docs, "doc_id", NAMES, 211).distinct()
     assert ordered(back.distinct(), "doc_id", "shard") == ordered(placed, "doc_id", "shard")
+
+
+def test_written_shards_keep_columns_with_any_names(spark, tmp_path):
+    docs = documents(spark, [(i, f"t{i}") for i in range(20)])
+    docs = docs.withColumns({"placed_slot": F.lit(1), "Placed_Index": F.lit(2), "placed__split": F.lit(3)})
+    sharding.write_shards(docs, "doc_id", NAMES, str(tmp_path / "out"), splits=2, table_size=211)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == {*docs.columns, "shard"}
+    columns = ("doc_id", "placed_slot", "Placed_Index", "placed__split")
+    assert ordered(back, *columns) == ordered(docs, *columns)
