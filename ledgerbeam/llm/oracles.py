@@ -118,4 +118,42 @@ left join scored s on s.text = j.text and s.label is null and j.rule is null
 """
 
 
-ORACLES = {"op2_url_filter": _url_filter(), "op5_exact_dedup": EXACT_DEDUP}
+FILL_IN_MIDDLE = """
+with cut as (
+    select doc_id, coalesce(text, '') as text,
+           regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') as lines,
+           sha256('7:' || coalesce(cast(doc_id as varchar), '')) as digest
+    from documents
+), drawn as (
+    select doc_id, text, lines, len(lines) as n,
+           cast('0x' || substr(digest, 1, 8) as bigint) as h1,
+           cast('0x' || substr(digest, 9, 8) as bigint) as h2,
+           cast('0x' || substr(digest, 25, 8) as bigint) as h4
+    from cut
+), placed as (
+    select *, least(h1 % (n + 1), h2 % (n + 1)) as low, greatest(h1 % (n + 1), h2 % (n + 1)) as high,
+           case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>')
+                then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form
+    from drawn
+), parts as (
+    select doc_id, n, form, text,
+           coalesce(array_to_string(lines[1:low], ''), '') as prefix,
+           coalesce(array_to_string(lines[low + 1:high], ''), '') as middle,
+           coalesce(array_to_string(lines[high + 1:n], ''), '') as suffix
+    from placed
+)
+select doc_id, cast(n as bigint) as n, form,
+       case when form <> 'plain' then length(prefix) end as prefix_chars,
+       case when form <> 'plain' then length(middle) end as middle_chars,
+       sha256(case form when 'plain' then text
+              when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(text) as restored_sha256
+from parts
+"""
+
+ORACLES = {
+    "op2_url_filter": _url_filter(),
+    "op5_exact_dedup": EXACT_DEDUP,
+    "op13_fill_in_middle": FILL_IN_MIDDLE,
+}

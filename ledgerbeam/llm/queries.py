@@ -12,6 +12,7 @@ from ledgerbeam.llm import (
     ann,
     best_fit,
     exact_dedup,
+    fill_in_middle,
     jaccard_join,
     pieces,
     sharding,
@@ -84,6 +85,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read_table(spark, sf_dir, "documents"), "doc_id", SHARDS)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    text = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(text, 256).alias("restored_sha256"),
+    )
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_learned_partitions": op1_learned_partitions,
@@ -96,6 +111,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_piece_codec": op9_piece_codec,
         "op10_sharding": op10_sharding,
+        "op13_fill_in_middle": op13_fill_in_middle,
         "pipeline": corpus_pipeline.run,
     }
 
