@@ -5,40 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerbeam.llm.common import cut
+from ledgerbeam.llm.common import join_groups, stored
+
+
+def _pairs(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Each edge once, the smaller node first, without loops."""
+    return (
+        edges.filter(F.col(a) != F.col(b))
+        .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+        .distinct()
+    )
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """``edges`` (node, root) of longs; returned: node, label, the least node it reaches.
 
-    Labels go along edges in both directions, and then jump to their own label's label, so
-    a chain shrinks by more than half each round. Minima are summed partially before each
-    shuffle, hot nodes included; each round's labels are checkpointed, which cuts the
-    lineage. Only the number of changes comes to the driver.
+    The graph is contracted: each node goes to the least of itself and its neighbours, and
+    edges between the images are what is left to do. The least node of a component stays
+    itself, so in the end all of it has gone there. A round removes a share of the nodes,
+    in chains, too, whatever the order of their numbers. Minima are summed partially, hot
+    nodes are looked up by broadcast (``join_groups``), and each round's tables are written,
+    which cuts the lineage; a checkpoint would hand on the constraints of all rounds before,
+    whose number doubles with each. Only sizes and the end come to the driver.
     """
-    there = edges.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b")
-    both = cut(there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(
-        both.groupBy("a").agg(F.min("b").alias("least")).select(
-            F.col("a").alias("node"), F.least("a", "least").alias("label")
-        )
-    )
-    while True:
-        heard = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy("a")
-            .agg(F.min("label").alias("heard"))
-        )
-        nearer = labels.join(heard.withColumnRenamed("a", "node"), "node").select(
-            "node", F.col("label").alias("before"), F.least("label", "heard").alias("label")
+    pairs = stored(_pairs(edges, "node", "root"))
+    rounds = []
+    while not pairs.isEmpty():
+        both = pairs.union(pairs.select("b", "a"))
+        moved = stored(
+            both.groupBy(F.col("a").alias("node"))
+            .agg(F.min("b").alias("near"), F.count("*").alias("degree"))
+            .select("node", F.least("node", "near").alias("label"), "degree")
         )
-        # A label is itself a node, so this lookup finds one row for each.
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        now = cut(
-            nearer.join(jump, "label").select(
-                "node", "before", F.least("label", "further").alias("label")
-            )
+        rounds.append(moved.select("node", "label"))
+        ends = pairs
+        for end in ("a", "b"):
+            image = moved.select(F.col("node").alias(end), F.col("label").alias(f"to_{end}"), "degree")
+            ends = join_groups(ends, image, [end], "degree").drop("degree")
+        pairs = stored(_pairs(ends, "to_a", "to_b"))
+    if not rounds:
+        return edges.select("node", F.col("root").alias("label")).limit(0)
+    labels = rounds.pop()
+    while rounds:
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        labels = stored(
+            rounds.pop()
+            .join(further, "label", "left")
+            .select("node", F.coalesce("last", "label").alias("label"))
         )
-        labels = now.select("node", "label")
-        if now.filter("before <> label").isEmpty():
-            return labels
+    return labels

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerbeam.llm import (
     ann,
     best_fit,
+    circulant,
     exact_dedup,
     fill_in_middle,
     jaccard_join,
@@ -85,6 +86,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read_table(spark, sf_dir, "documents"), "doc_id", SHARDS)
 
 
+def op12_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = circulant.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle.fill_in_middle(read_table(spark, sf_dir, "documents"))
     text = fill_in_middle.restored(F.col("output"), F.col("form"))
@@ -111,6 +117,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_piece_codec": op9_piece_codec,
         "op10_sharding": op10_sharding,
+        "op12_circulant_minhash": op12_circulant_minhash,
         "op13_fill_in_middle": op13_fill_in_middle,
         "pipeline": corpus_pipeline.run,
     }
