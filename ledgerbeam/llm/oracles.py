@@ -152,8 +152,54 @@ select doc_id, cast(n as bigint) as n, form,
 from parts
 """
 
+PREFIX_TRIE = """
+with turns as (
+    select conv_id, coalesce(text, '') as text, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) as said,
+           row_number() over (partition by conv_id order by turn nulls first,
+               sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) as pos
+    from conversations where conv_id is not null
+), lists as (
+    select conv_id, list(said order by pos) as said from turns group by conv_id
+), crc as (  -- CRC-32 of each byte, by its polynomial
+    select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as of_byte
+), hashed as (
+    select conv_id, said, conv_id - conv_id % 5 as base,
+           xor(list_reduce(list_transform(string_split(cast(conv_id as varchar), ''), lambda d: cast(ascii(d) as bigint)),
+               lambda c, b: xor(c >> 8, of_byte[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 9 as h
+    from lists, crc
+), rebuilt as (
+    select c.conv_id, list_concat(coalesce(b.said[1:c.h], []), c.said[c.h + 1:]) as said
+    from hashed c left join lists b on b.conv_id = c.base
+), prefixes as (
+    select conv_id, d as depth, said[1:d] as path, len(said) = d as is_end
+    from rebuilt, unnest(range(0, len(said) + 1)) as u(d)
+), nodes as (
+    select depth, path, min(conv_id) as conv_id, count(*) as n_convs,
+           count(*) filter (where is_end) as n_ends,
+           coalesce(octet_length(encode(path[depth].t)), 0) as bytes,
+           coalesce(string_agg(case when is_end then cast(conv_id as varchar) end, ',' order by conv_id), '') as ends
+    from prefixes group by depth, path
+), below as (
+    select p.depth, p.path, sum((n.n_convs - 1) * n.bytes) as saved_tokens,
+           count(*) filter (where n.n_ends = n.n_convs) as n_leaves
+    from nodes n join prefixes p on p.conv_id = n.conv_id and p.depth <= n.depth
+    group by p.depth, p.path
+), children as (
+    select depth - 1 as depth, path[1:depth - 1] as path, count(*) as n_children
+    from nodes where depth > 0 group by all
+)
+select n.conv_id, cast(n.depth as bigint) as depth, u.conv_id as parent_conv_id, n.n_convs,
+       coalesce(c.n_children, 0) as n_children, b.n_leaves,
+       cast(b.saved_tokens as bigint) as saved_tokens, sha256(n.ends) as ends_sha256
+from nodes n join below b on b.depth = n.depth and b.path = n.path
+left join children c on c.depth = n.depth and c.path = n.path
+left join nodes u on u.depth = n.depth - 1 and u.path = n.path[1:n.depth - 1]
+"""
+
 ORACLES = {
     "op2_url_filter": _url_filter(),
     "op5_exact_dedup": EXACT_DEDUP,
+    "op11_prefix_trie": PREFIX_TRIE,
     "op13_fill_in_middle": FILL_IN_MIDDLE,
 }

@@ -16,6 +16,7 @@ from ledgerbeam.llm import (
     fill_in_middle,
     jaccard_join,
     pieces,
+    prefix_trie,
     sharding,
     surrogates,
     token_output,
@@ -86,6 +87,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read_table(spark, sf_dir, "documents"), "doc_id", SHARDS)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations")).drop("screened")
+
+
 def op12_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = circulant.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -117,6 +122,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_piece_codec": op9_piece_codec,
         "op10_sharding": op10_sharding,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_circulant_minhash": op12_circulant_minhash,
         "op13_fill_in_middle": op13_fill_in_middle,
         "pipeline": corpus_pipeline.run,
