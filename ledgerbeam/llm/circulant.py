@@ -28,7 +28,9 @@ PER_CENT = 85  # of the union that the intersection has to reach
 BANDS, ROWS = 25, 5  # a pair just similar enough meets with probability 0.9999996
 MISSED = 1e-8  # chance that such a pair shows too few equal coordinates
 
-SPLIT = 256  # members that are compared with one hub in one cell
+SPLIT = 64  # members that are compared with one hub in one cell
+ROUNDS, TRIES = 2, 3  # of further hubs in large open buckets, and hubs of a member in each
+LARGE = 64  # members of such a bucket
 CELL, CELL_BYTES = 256, 8 << 20  # members and bytes of shingles of each side of a cell
 MOST_WORDS = 200_000  # hashes of words that a task remembers
 BLOCK = 1024  # shingles whose coordinates are generated at once
@@ -250,64 +252,101 @@ def _with_hubs(star: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return map_batches(cells, work, "node long, root long")
 
 
-def _cells(members: DataFrame, per_cent: int) -> DataFrame:
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (key, cid, size) of buckets that hold several components, with their
+    label, and per bucket the number of members and the label that most of them have."""
+    labelled = stored(
+        members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
+            "key", "cid", "size", F.coalesce("label", "cid").alias("label")
+        )
+    )
+    buckets = stored(
+        labelled.groupBy("key", "label")
+        .agg(F.count("*").alias("times"))
+        .groupBy("key")
+        .agg(
+            F.sum("times").alias("n"),
+            F.count("*").alias("labels"),
+            F.max(F.struct("times", "label")).alias("most"),
+        )
+        .filter("labels > 1")
+        .select("key", "n", F.col("most.label").alias("main"))
+    )
+    return stored(join_groups(labelled, buckets, ["key"], "n"))
+
+
+def _further_hubs(open_: DataFrame, turn: int) -> DataFrame:
+    """For members of large open buckets a few hubs of other components: cid, hub. Buckets
+    have hubs of their own, drawn by a hash, so the members of a group try different ones."""
+    large = open_.filter(F.col("n") > LARGE)
+    drawn = F.xxhash64("cid", "key", F.lit(turn))
+    hubs = stored(
+        large.groupBy("key")
+        .agg(F.min(F.struct(drawn.alias("drawn"), "cid", "label")).alias("hub"), F.first("n").alias("n"))
+        .select("key", "n", F.col("hub.cid").alias("hub"), F.col("hub.label").alias("hub_label"))
+    )
+    apart = join_groups(large.drop("n"), hubs, ["key"], "n").filter("label <> hub_label")
+    # a member is in at most BANDS buckets, so this set is small
+    some = F.array_sort(F.collect_set(F.struct(F.xxhash64("hub", "cid").alias("drawn"), "hub")))
+    tries = apart.groupBy("cid").agg(F.slice(some, 1, TRIES).alias("tries"))
+    return tries.select("cid", F.explode("tries.hub").alias("hub"))
+
+
+def _cells(open_: DataFrame, per_cent: int) -> DataFrame:
     """Deal the open buckets over cells in which any two members that can be linked meet.
 
-    ``members``: key, cid, size, label. A bucket of up to ``CELL`` members and
+    ``open_``: key, cid, size, label, n, main. A bucket of up to ``CELL`` members and
     ``CELL_BYTES`` is one cell. A larger one is cut into classes of size, such that sizes
-    beyond the similarity lie more than one class apart, and these by a hash into parts of
-    bounded members and bytes. Parts of one class or of neighbours share a cell; others
-    never meet. Returned: cell, part (of the two of a cell), cid, label.
+    beyond the similarity lie more than one class apart, these into the members of the
+    bucket's main component and the others, and these by a hash into parts of bounded
+    members and bytes. Two parts of one class or of neighbours share a cell, unless both
+    are of the main component. Returned: cell, part (of the two of a cell), cid, label, size.
     """
-    bytes_of = F.sum(F.col("size") * 8)
     step = F.floor(F.log(F.col("size").cast("double")) / -math.log(per_cent / 100)).cast("int")
-    facts = stored(members.groupBy("key", step.alias("step")).agg(F.count("*").alias("n"), bytes_of.alias("bytes")))
-    small = (F.sum("n") <= CELL) & (F.sum("bytes") <= CELL_BYTES)
+    sided = open_.withColumn("step", step).withColumn("side", (F.col("label") != F.col("main")).cast("int"))
+    facts = sided.groupBy("key", "step", "side").agg(
+        F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes")
+    )
     parts_of = F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("bytes") / CELL_BYTES)).cast("int")
     buckets = stored(
         facts.groupBy("key").agg(
             F.sum("n").alias("n"),
-            small.alias("small"),
-            F.map_from_entries(F.collect_list(F.struct("step", parts_of))).alias("parts"),
+            ((F.sum("n") <= CELL) & (F.sum("bytes") <= CELL_BYTES)).alias("small"),
+            # one entry per class of size and side: sizes are bounded, so these are some dozens
+            F.map_from_entries(F.collect_list(F.struct(F.struct("step", "side"), parts_of))).alias("parts"),
         )
     )
 
-    def parts(at):
+    def count(at, side):
+        at = F.struct(at.alias("step"), side.alias("side"))
         return F.coalesce(F.element_at("parts", at), F.lit(0))
 
-    placed = (
-        join_groups(members, buckets, ["key"], "n")
-        .withColumn("step", F.when(F.col("small"), 0).otherwise(step))
-        .withColumn("own", F.when(F.col("small"), 1).otherwise(parts(F.col("step"))))
-        .withColumn("above", F.when(F.col("small"), 0).otherwise(parts(F.col("step") + 1)))
-        .withColumn("below", F.when(F.col("small"), 0).otherwise(parts(F.col("step") - 1)))
-        .withColumn("split", F.pmod(F.xxhash64("cid"), F.col("own")).cast("int"))
-    )
+    def part(at, side, split):
+        return F.struct(at.alias("step"), side.alias("side"), split.alias("split"))
 
-    def others(count: str, step, mine_first: bool):
-        def cell(other):
-            mine = F.struct(F.col("step").alias("step"), F.col("split").alias("split"))
-            yours = F.struct(step.alias("step"), other.alias("split"))
-            low, high = (mine, yours) if mine_first else (yours, mine)
-            if count == "own":
-                low, high = F.least(mine, yours), F.greatest(mine, yours)
-            return F.struct(F.col("key").alias("key"), low.alias("low"), high.alias("high"))
-
-        return F.transform(
-            F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(
-                F.array().cast("array<int>")
-            ),
-            cell,
-        )
+    def parts(at, side):
+        """The parts of a class and side that a member has to meet."""
+        met = (count(at, side) > 0) & ((F.col("side") == 1) | (side == 1))
+        every = F.sequence(F.lit(0), count(at, side) - 1)
+        return F.transform(F.when(met, every).otherwise(F.array().cast("array<int>")), lambda i: part(at, side, i))
 
-    cells = F.concat(
-        others("own", F.col("step"), True),
-        others("above", F.col("step") + 1, True),
-        others("below", F.col("step") - 1, False),
+    own = F.pmod(F.xxhash64("cid"), count(F.col("step"), F.col("side"))).cast("int")
+    single = F.struct(F.lit(0).alias("step"), F.lit(0).alias("side"), F.lit(0).alias("split"))
+    others = F.concat(
+        *(parts(F.col("step") + d, F.lit(side)) for d in (-1, 0, 1) for side in (0, 1))
+    )
+    met = (
+        join_groups(sided.drop("n"), buckets, ["key"], "n")
+        .withColumn("mine", F.when(F.col("small"), single).otherwise(part(F.col("step"), F.col("side"), own)))
+        .withColumn("other", F.explode(F.when(F.col("small"), F.array(single)).otherwise(others)))
     )
-    part = F.when(F.col("cell.low") == F.struct(F.col("step"), F.col("split")), 0).otherwise(1)
-    return placed.withColumn("cell", F.explode(cells)).select(
-        "cell", part.alias("part"), "cid", "label", "size"
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    return met.select(
+        F.struct("key", low.alias("low"), high.alias("high")).alias("cell"),
+        (low != F.col("mine")).cast("int").alias("part"),
+        "cid",
+        "label",
+        "size",
     )
 
 
@@ -407,6 +446,10 @@ def _one_document(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
     )
 
 
+def _as_edges(labels: DataFrame) -> DataFrame:
+    return labels.select("node", F.col("label").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """Components of the texts of ``docs`` (doc_id, text) whose shingle sets are similar.
 
@@ -417,8 +460,9 @@ def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     1. One scan gives each text its signature: ``sigma`` permutes its shingles, and all
        coordinates come from shifting ``pi`` circularly. Rows with the same set are one class.
     2. Band keys are shuffled. Each class is first compared with one hub, the least class
-       that shares a bucket with it, on full sets. Large groups of near copies are mostly
-       one component after that, at the cost of a row per class.
+       that shares a bucket with it, on full sets, and then, in large buckets that still
+       hold several components, with a few hubs of other components. Large groups of near
+       copies are mostly one component after that, at the cost of a few rows per class.
     3. Buckets that still hold several components are dealt over cells bounded in members
        and bytes. Pairs of one component, of sizes or signatures too far apart, or met in
        an earlier band are left out there, the others verified on full sets.
@@ -457,19 +501,15 @@ def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     met = star.select("cid").union(star.select("hub")).distinct()
     wanted = met.join(classes, "cid").select("cid", "best.doc_id", "best.row_hash")
     sets = stored(_shingle_sets(docs, signed, wanted))
-    links = stored(_with_hubs(star, sets, per_cent))
-    labels = connected(links)
-
-    labelled = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "key", "cid", "size", F.coalesce("label", "cid").alias("label")
-    )
-    open_ = stored(
-        labelled.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
-        .filter("least <> most")
-        .select("key", "n")
-    )
-    left = stored(join_groups(labelled, open_, ["key"], "n").drop("n"))
+    labels = connected(stored(_with_hubs(star, sets, per_cent)))
+    left = _open(members, labels)
+    for turn in range(ROUNDS):
+        star = stored(_further_hubs(left, turn))
+        if star.isEmpty():
+            break
+        more = _with_hubs(star, sets, per_cent)
+        labels = connected(stored(_as_edges(labels).unionByName(more)))
+        left = _open(members, labels)
     marks = classes.select("cid", "bands", "coordinates")
     undecided = stored(_undecided(_cells(left, per_cent).join(marks, "cid"), per_cent))
     more = stored(_decided(undecided, sets, per_cent))
@@ -477,8 +517,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     if same is not None:
         more = more.unionByName(same)
     if not more.isEmpty():
-        known = labels.select("node", F.col("label").alias("root"))
-        labels = connected(stored(known.unionByName(more)))
+        labels = connected(stored(_as_edges(labels).unionByName(more)))
 
     placed = classes.select("cid", "digest", "n", "best").join(
         labels.withColumnRenamed("node", "cid"), "cid", "left"

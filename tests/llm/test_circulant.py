@@ -96,6 +96,7 @@ def test_chains_in_hot_buckets_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(circulant, "CELL", 8)
     monkeypatch.setattr(circulant, "CELL_BYTES", 8000)
     monkeypatch.setattr(circulant, "SPLIT", 4)
+    monkeypatch.setattr(circulant, "LARGE", 20)
     rng = random.Random(2)
     rows = []
     for size in (60, 75, 200):
@@ -114,8 +115,11 @@ def test_chains_in_hot_buckets_equal_brute_force(spark, monkeypatch):
 def test_cells_bring_every_pair_of_like_sizes_together_once(spark, monkeypatch):
     monkeypatch.setattr(circulant, "CELL", 5)
     sizes = [10 + i % 40 for i in range(120)]
-    rows = [(1, i, s, i) for i, s in enumerate(sizes)] + [(2, i, 50, i) for i in range(4)]
-    members = spark.createDataFrame(rows, "key long, cid long, size long, label long")
+    label = [0 if i % 3 else i for i in range(120)]  # two thirds are of the main component
+    rows = [(1, i, s, label[i], 120, 0) for i, s in enumerate(sizes)]
+    rows += [(2, i, 50, i, 4, 0) for i in range(4)]
+    names = "key long, cid long, size long, label long, n long, main long"
+    members = spark.createDataFrame(rows, names)
     cells = defaultdict(list)
     for r in circulant._cells(members, 85).collect():
         cells[r["cell"]].append((r["part"], r["cid"]))
@@ -127,7 +131,9 @@ def test_cells_bring_every_pair_of_like_sizes_together_once(spark, monkeypatch):
                     met[cell["key"], i, j] += 1
     for i in range(120):
         for j in range(i + 1, 120):
-            if 100 * min(sizes[i], sizes[j]) >= 85 * max(sizes[i], sizes[j]):
+            if label[i] == label[j] == 0:
+                assert (1, i, j) not in met
+            elif 100 * min(sizes[i], sizes[j]) >= 85 * max(sizes[i], sizes[j]):
                 assert met[1, i, j] == 1
     assert set(met.values()) == {1}
     assert all(met[2, i, j] == 1 for i in range(4) for j in range(i + 1, 4))
