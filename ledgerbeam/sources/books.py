@@ -53,8 +53,12 @@ class Books:
             employee=shaped["employee"],
         )
 
-    def with_broadcast_limit(self, limit_bytes: int) -> Books:
-        return replace(self, chart=self.chart.with_broadcast_limit(limit_bytes))
+    def with_broadcast_limit(
+        self, limit_bytes: int, filter_limit_bytes: int | None = None
+    ) -> Books:
+        return replace(
+            self, chart=self.chart.with_broadcast_limit(limit_bytes, filter_limit_bytes)
+        )
 
     def tables(self) -> dict[str, DataFrame]:
         return {

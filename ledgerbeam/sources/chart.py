@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 # Accounts are copied to every executor only while they stay below this size.
 BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
 
+# A filter of account names is sent to the ledger scan while it stays below this size.
+FILTER_LIMIT_BYTES = 256 * 1024 * 1024
+
+# The filter: accounts per 64-bit word, bits that an account sets in its word, and what a
+# word costs in the map that executors look it up in.
+_ACCOUNTS_PER_WORD, _BITS, _WORD_BYTES = 2, 5, 64
+
 # What a hashed row costs beside its text: row header, four fixed slots, map entry.
 _ROW_OVERHEAD_BYTES = 100
 
@@ -22,6 +29,20 @@ class DuplicateAccounts(ValueError):
     """An account name occurs twice, so a join would count its entries twice."""
 
 
+def _word_of(name: str, words: int) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(words).cast("long"))
+
+
+def _bits_of(name: str) -> Column:
+    """``_BITS`` bits of a word, from the upper bits of the name's hash, six for each."""
+    mask = None
+    for i in range(_BITS):
+        at = F.shiftrightunsigned(F.xxhash64(name), 58 - 6 * i).cast("int").bitwiseAND(F.lit(63))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), at)
+        mask = bit if mask is None else mask.bitwiseOR(bit)
+    return mask
+
+
 @dataclass(frozen=True)
 class Selection:
     """Accounts that a query reads. Equal ``key`` means equal accounts, so a size that was
@@ -41,14 +62,16 @@ class ChartOfAccounts:
 
     Ledgers are usually huge and their chart of accounts small, but nothing
     guarantees the second. The measured size decides how ``attach`` joins. Of a chart that
-    is too large as a whole, each selection is measured once and remembered in ``sizes``.
+    is too large as a whole, each selection is measured once and remembered in ``sizes``, as
+    rows and bytes.
     """
 
     df: DataFrame
     rows: int
     size_bytes: int
     broadcast_limit_bytes: int = BROADCAST_LIMIT_BYTES
-    sizes: dict[tuple, int] = field(default_factory=dict, compare=False, repr=False)
+    filter_limit_bytes: int = FILTER_LIMIT_BYTES
+    sizes: dict[tuple, tuple[int, int]] = field(default_factory=dict, compare=False, repr=False)
 
     @classmethod
     def verified(
@@ -73,8 +96,15 @@ class ChartOfAccounts:
             )
         return cls(named, facts["rows"], facts["size_bytes"], broadcast_limit_bytes)
 
-    def with_broadcast_limit(self, limit_bytes: int) -> ChartOfAccounts:
-        return replace(self, broadcast_limit_bytes=limit_bytes)
+    def with_broadcast_limit(
+        self, limit_bytes: int, filter_limit_bytes: int | None = None
+    ) -> ChartOfAccounts:
+        """The same chart with another bound for accounts, and for filters if one is given."""
+        if filter_limit_bytes is None:
+            filter_limit_bytes = self.filter_limit_bytes
+        return replace(
+            self, broadcast_limit_bytes=limit_bytes, filter_limit_bytes=filter_limit_bytes
+        )
 
     def under(self, parents: Sequence[str]) -> Selection:
         """Accounts directly below one of the given parents (one level, no recursion)."""
@@ -92,17 +122,21 @@ class ChartOfAccounts:
         )
 
     def measure(self, *selections: Selection) -> None:
-        """Measure all selections that need it and are not yet known, in one job: a plain
-        sum of bytes for each. A chart that is small as a whole needs no look, nor does
-        one that nothing of may be broadcast."""
-        if self.size_bytes <= self.broadcast_limit_bytes or self.broadcast_limit_bytes <= 0:
+        """Measure all selections that need it and are not yet known, in one job: plain
+        sums of rows and bytes for each. A chart that is small as a whole needs no look,
+        nor does one that neither accounts nor a filter of may be broadcast."""
+        if self.size_bytes <= self.broadcast_limit_bytes:
+            return
+        if self.broadcast_limit_bytes <= 0 and self.filter_limit_bytes <= 0:
             return
         unknown = {s.key: s for s in selections if s.key not in self.sizes}
         if unknown:
-            sums = [
-                F.sum(F.when(s.rows, _row_bytes(self.df)).otherwise(0)) for s in unknown.values()
-            ]
-            self.sizes.update(zip(unknown, self.df.agg(*sums).first(), strict=True))
+            sums = []
+            for s in unknown.values():
+                sums.append(F.coalesce(F.count_if(s.rows), F.lit(0)))
+                sums.append(F.coalesce(F.sum(F.when(s.rows, _row_bytes(self.df))), F.lit(0)))
+            found = self.df.agg(*sums).first()
+            self.sizes.update(zip(unknown, zip(found[::2], found[1::2], strict=True), strict=True))
 
     def fits_broadcast(self, selection: Selection) -> bool:
         """Whether the selected accounts are few and short enough to be copied."""
@@ -111,7 +145,36 @@ class ChartOfAccounts:
         if self.broadcast_limit_bytes <= 0:
             return False
         self.measure(selection)
-        return self.sizes[selection.key] <= self.broadcast_limit_bytes
+        return self.sizes[selection.key][1] <= self.broadcast_limit_bytes
+
+    def narrowed(self, ledger: DataFrame, selection: Selection) -> DataFrame:
+        """Drop ledger rows where they are read whose account is surely not selected.
+
+        The selected names go to the scan as a filter: each sets some bits in one of many
+        64-bit words, which is looked up by its number. A name that was not set passes by
+        chance in less than one of a thousand cases; none that was set is dropped. A word
+        serves two accounts, so this costs some 30 bytes per account however long its name,
+        and is sent when the measured number of accounts keeps it within
+        ``filter_limit_bytes``. A selection of more than half of the chart would drop too
+        little and is not filtered by.
+        """
+        self.measure(selection)
+        rows, _ = self.sizes.get(selection.key, (None, None))
+        if rows is None:
+            return ledger
+        words = max(1, -(-rows // _ACCOUNTS_PER_WORD))
+        if 2 * rows > self.rows or words * _WORD_BYTES > self.filter_limit_bytes:
+            return ledger
+        names = self.df.filter(selection.rows).select(
+            _word_of("name", words).alias("filter_word"), _bits_of("name").alias("bits")
+        )
+        sent = names.groupBy("filter_word").agg(F.bit_or("bits").alias("filter_bits"))
+        mask = _bits_of("account")
+        may_be = (_word_of("account", words) == F.col("filter_word")) & (
+            F.col("filter_bits").bitwiseAND(mask) == mask
+        )
+        # words are unique, so this inner join repeats no entry
+        return ledger.join(F.broadcast(sent), may_be).drop("filter_word", "filter_bits")
 
     def label(self, ledger: DataFrame, selected: DataFrame) -> DataFrame:
         """Inner join of ledger rows with accounts that fit a broadcast.
@@ -133,8 +196,9 @@ class ChartOfAccounts:
         ``sums`` are the ledger columns that the caller is going to add up. All other
         columns are keys.
 
-        A small selection is broadcast. For a large one, and with the account as the only
-        key, the ledger is first summed per account, with partial sums before the shuffle,
+        A small selection is broadcast. For a large one the ledger is first filtered where it
+        is read (``narrowed``), so that little but entries of selected accounts is shuffled.
+        With the account as the only key, it is then summed per account, with partial sums before the shuffle,
         so that an account with a large part of all entries arrives as one row; the join
         reuses that shuffle. With further keys such a sum would hardly shorten the ledger
         and cost it a second shuffle: it is joined as it is, on one shuffle by account,
@@ -145,6 +209,7 @@ class ChartOfAccounts:
         selected = selection.of(self)
         if self.fits_broadcast(selection):
             return self.label(ledger, selected)
+        ledger = self.narrowed(ledger, selection)
         keys = [c for c in ledger.columns if c not in sums]
         if keys == ["account"]:
             ledger = ledger.groupBy("account").agg(*(F.sum(c).alias(c) for c in sums))

@@ -61,12 +61,12 @@ def random_entries(seed: int, size: int = 600):
     return entries
 
 
-@pytest.fixture(scope="module", params=[(1, True), (2, False), (3, True), (3, False)], ids=str)
+@pytest.fixture(scope="module", params=[(1, None), (2, (0, 0)), (3, None), (3, (0,))], ids=str)
 def case(request, spark):
-    seed, broadcast = request.param
+    seed, limits = request.param
     entries = random_entries(seed)
     books = make_books(spark, entries)
-    books = books if broadcast else books.with_broadcast_limit(0)
+    books = books if limits is None else books.with_broadcast_limit(*limits)
     return entries, books
 
 

@@ -6,12 +6,13 @@ from dataclasses import replace
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from ledgerbeam import operators as op
 from ledgerbeam.plans import dashboard_series
-from ledgerbeam.sources import open_books, write_books
-from tests.helpers import entry, jobs, make_books, plan_of, rows
+from ledgerbeam.sources import books_from_star, open_books, write_books
+from tests.helpers import TESTDATA, entry, jobs, make_books, plan_of, rows
 
 JOINED = {
     name
@@ -55,7 +56,7 @@ def test_small_chart_is_broadcast_and_ledger_rows_are_not_shuffled(star_books):
 
 @pytest.mark.parametrize("name", sorted(JOINED - {"income_daily"}))
 def test_large_chart_meets_a_ledger_already_summed_per_account(star_books, name):
-    plan = plan_of(driver.PLANS[name](star_books.with_broadcast_limit(0), driver.PARAMS))
+    plan = plan_of(driver.PLANS[name](star_books.with_broadcast_limit(0, 0), driver.PARAMS))
     below = plan[plan.index("SortMergeJoin") :]
     assert "BroadcastHashJoin" not in below
     assert "partial_sum" in below
@@ -63,7 +64,7 @@ def test_large_chart_meets_a_ledger_already_summed_per_account(star_books, name)
 
 def test_sums_per_day_shuffle_the_ledger_once_before_the_join(star_books):
     plan = plan_of(
-        driver.PLANS["income_daily"](star_books.with_broadcast_limit(0), driver.PARAMS)
+        driver.PLANS["income_daily"](star_books.with_broadcast_limit(0, 0), driver.PARAMS)
     )
     below = plan[plan.index("SortMergeJoin") :]
     assert "partial_sum" not in below
@@ -72,6 +73,36 @@ def test_sums_per_day_shuffle_the_ledger_once_before_the_join(star_books):
     assert "partial_sum" in plan[: plan.index("SortMergeJoin")]
 
 
+@pytest.mark.parametrize("name", ["income_daily", "cash_balance_by_account"])
+def test_a_large_chart_filters_the_ledger_before_its_shuffle(star_books, name):
+    plan = plan_of(driver.PLANS[name](star_books.with_broadcast_limit(0), driver.PARAMS))
+    shuffle = plan.index("Exchange hashpartitioning(account")
+    assert "filter_bits" in plan[shuffle:] and "filter_bits" not in plan[:shuffle]
+
+
+def test_the_filter_lets_hardly_any_other_entry_pass(spark):
+    books = books_from_star(spark, f"{TESTDATA}/sf0.1").with_broadcast_limit(0)
+    chosen = books.chart.under(["Brand#1"])
+    wanted = books.gl_entry.join(chosen.of(books.chart).hint("merge"), F.col("account") == F.col("name"))
+    passed = books.chart.narrowed(books.gl_entry, chosen)
+    wanted, passed = wanted.count(), passed.count()
+    assert 0 < wanted <= passed <= 1.02 * wanted
+    words = -(-books.chart.sizes[chosen.key][0] // 2)
+    assert words * 64 < 0.5 * books.chart.sizes[chosen.key][1]  # half of the accounts' size at most
+
+
+def test_the_filter_is_sent_only_when_measured_small_and_selective(star_books):
+    chart, ledger = star_books.with_broadcast_limit(0).chart, star_books.gl_entry
+    few, most = chart.under(["Brand#1"]), chart.of_root_types(["Income", "Expense", "Asset"])
+    assert chart.narrowed(ledger, few) is not ledger
+    assert chart.narrowed(ledger, most) is ledger
+    words = -(-chart.sizes[few.key][0] // 2)
+    assert chart.with_broadcast_limit(0, 64 * words).narrowed(ledger, few) is not ledger
+    assert chart.with_broadcast_limit(0, 64 * words - 1).narrowed(ledger, few) is ledger
+    nothing = chart.under(["no such parent"])
+    assert chart.narrowed(ledger, nothing).count() == 0
+
+
 def test_hot_account_is_split(spark):
     entries = [entry("ads", 1, 0, day=date(2020, 1, 1 + i % 28)) for i in range(4000)]
     entries += [entry(f"a{i % 400}", 1, 0) for i in range(8000)]
@@ -115,7 +146,7 @@ def test_dashboard_with_a_large_chart(spark, star_books, stored):
 
 
 def test_join_with_a_large_chart_reuses_the_shuffle_of_the_sum(star_books):
-    books = star_books.with_broadcast_limit(0)
+    books = star_books.with_broadcast_limit(0, 0)
     plan = plan_of(driver.PLANS["cash_balance_by_account"](books, driver.PARAMS))
     assert plan.count("hashpartitioning") == 2  # the summed ledger and the chart
 
