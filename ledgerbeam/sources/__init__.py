@@ -1,7 +1,14 @@
 """The five input tables: their schemas, readers, and the stored layout."""
 
-from ledgerbeam.sources.books import Books, books_from_erp, open_books, write_books
+from ledgerbeam.sources.books import (
+    Books,
+    books_from_erp,
+    books_from_sql,
+    open_books,
+    write_books,
+)
 from ledgerbeam.sources.chart import BROADCAST_LIMIT_BYTES, ChartOfAccounts, DuplicateAccounts
+from ledgerbeam.sources.splits import SPLIT_TABLES, SplitTable, date_splits
 from ledgerbeam.sources.star import books_from_star
 
 __all__ = [
@@ -9,8 +16,12 @@ __all__ = [
     "Books",
     "ChartOfAccounts",
     "DuplicateAccounts",
+    "SPLIT_TABLES",
+    "SplitTable",
     "books_from_erp",
+    "books_from_sql",
     "books_from_star",
+    "date_splits",
     "open_books",
     "write_books",
 ]

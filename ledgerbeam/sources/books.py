@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ledgerbeam.functions import month_number, text_key
 from ledgerbeam.sources.chart import BROADCAST_LIMIT_BYTES, ChartOfAccounts
 from ledgerbeam.sources.schemas import MONEY, STORED, conform, table_schemas
+from ledgerbeam.sources.splits import SPLIT_TABLES, split_reader
 
 # The table names under which the ERP stores its documents.
 ERP_TABLES = {
@@ -85,6 +86,33 @@ def books_from_erp(
     )
 
 
+def books_from_sql(
+    read: Callable[[str], DataFrame],
+    read_where: Callable[[str, list[str]], DataFrame],
+    splits: int = 64,
+    money: T.DecimalType = MONEY,
+    exact_floats: bool = False,
+) -> Books:
+    """Read the ERP's tables from an SQL database, the large ones in about ``splits`` tasks.
+
+    ``read`` gets a table or a query in parentheses with an alias; ``read_where`` a table and
+    disjoint conditions, one for each task: with Spark's JDBC reader
+    ``lambda t: spark.read.jdbc(url, t, properties=p)`` and
+    ``lambda t, where: spark.read.jdbc(url, t, predicates=where, properties=p)``.
+
+    The database counts the rows of each posting date; ranges of dates with like numbers of
+    rows follow from that, and a crowded day is cut by a checksum of the primary key
+    (``date_splits``). Every row is read by exactly one task, also one without a date or of a
+    day that came later. A query that filters by date has its filter pushed into every split.
+    """
+    table = split_reader(read, read_where, splits)
+    return Books.of(
+        {name: table(erp, SPLIT_TABLES.get(name)) for name, erp in ERP_TABLES.items()},
+        money,
+        exact_floats=exact_floats,
+    )
+
+
 def write_books(books: Books, path: str) -> None:
     """Store the tables as Parquet in a layout made for the dashboard's filters.
 
