@@ -5,9 +5,11 @@ from ledgerbeam.sources.books import (
     books_from_erp,
     books_from_sql,
     open_books,
+    rewrite_months,
     write_books,
 )
 from ledgerbeam.sources.chart import BROADCAST_LIMIT_BYTES, ChartOfAccounts, DuplicateAccounts
+from ledgerbeam.sources.compact import compact_ledger, compacted, refresh, with_compact_ledger
 from ledgerbeam.sources.splits import SPLIT_TABLES, SplitTable, date_splits
 from ledgerbeam.sources.star import books_from_star
 
@@ -21,7 +23,12 @@ __all__ = [
     "books_from_erp",
     "books_from_sql",
     "books_from_star",
+    "compact_ledger",
+    "compacted",
     "date_splits",
     "open_books",
+    "refresh",
+    "rewrite_months",
+    "with_compact_ledger",
     "write_books",
 ]

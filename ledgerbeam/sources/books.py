@@ -113,6 +113,23 @@ def books_from_sql(
     )
 
 
+def ledger_files(path: str) -> str:
+    """Where ``write_books`` puts the ledger."""
+    return f"{path}/gl_entry"
+
+
+def _write_ledger(ledger: DataFrame, path: str, mode: str) -> None:
+    (
+        ledger.withColumn("posting_month", month_number("posting_date"))
+        .hint("rebalance", "fiscal_year", "posting_month")
+        .sortWithinPartitions("fiscal_year", "posting_month", "posting_date")
+        .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("fiscal_year", "posting_month")
+        .parquet(path)
+    )
+
+
 def write_books(books: Books, path: str) -> None:
     """Store the tables as Parquet in a layout made for the dashboard's filters.
 
@@ -126,19 +143,23 @@ def write_books(books: Books, path: str) -> None:
         target = f"{path}/{name}"
         df = df.drop(*STORED.get(name, T.StructType()).names)
         if name == "gl_entry":
-            (
-                df.withColumn("posting_month", month_number("posting_date"))
-                .hint("rebalance", "fiscal_year", "posting_month")
-                .sortWithinPartitions("fiscal_year", "posting_month", "posting_date")
-                .write.partitionBy("fiscal_year", "posting_month")
-                .parquet(target)
-            )
+            _write_ledger(df, target, "error")
         elif name in STORED:
             df.withColumn("status_key", text_key("status")).write.parquet(target)
         else:
             df.write.parquet(target)
 
 
+def rewrite_months(ledger: DataFrame, path: str) -> None:
+    """Replace the months of the stored ledger that ``ledger`` has entries of; others stay.
+
+    Give all entries of such a month, with what came late or was corrected. Partitions are
+    overwritten one by one, so nothing else is read or written; ``ledger`` must not read
+    the files that it replaces. A month that has no entries left is not touched: keep an
+    entry of no amount, or remove its folder."""
+    _write_ledger(ledger.drop(*STORED["gl_entry"].names), ledger_files(path), "overwrite")
+
+
 def open_books(spark: SparkSession, path: str, money: T.DecimalType = MONEY) -> Books:
     """Open what ``write_books`` stored. The explicit schemas keep ``fiscal_year`` text
     and save the read of file footers. Books stored before months were partitioned have to

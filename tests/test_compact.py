@@ -1,0 +1,132 @@
+"""The compacted ledger: the same answers, and only changed months are summed again."""
+
+from __future__ import annotations
+
+import random
+from dataclasses import replace
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as driver
+from ledgerbeam.plans import dashboard_series, published
+from ledgerbeam.sources import (
+    compact_ledger,
+    compacted,
+    open_books,
+    refresh,
+    rewrite_months,
+    with_compact_ledger,
+    write_books,
+)
+from ledgerbeam.sources.books import ledger_files
+from tests.helpers import PARAMS, by_value, entry, frame, jobs, make_books, payment, rows
+
+
+def random_ledger(seed, months=(1, 2, 3), n=400):
+    rng = random.Random(seed)
+    found = []
+    for _ in range(n):
+        day = date(rng.choice((2019, 2020)), rng.choice(months), rng.randrange(1, 4))
+        side = lambda: rng.choice((None, 0, rng.randrange(100)))
+        account = rng.choice(("till", "till", "sales", "ads", "wages", "gone", None))
+        found.append(entry(account, side(), side(), day=day, year=str(day.year)))
+    return found + [payment(f"P{i % 4}", i) for i in range(40)]
+
+
+def ledger_of(spark, entries):
+    return frame(spark, "gl_entry", entries)
+
+
+def dashboards(spark, path, base):
+    direct = open_books(spark, path)
+    return (
+        by_value(rows(published(dashboard_series(with_compact_ledger(spark, direct, base), PARAMS)))),
+        by_value(rows(published(dashboard_series(direct, PARAMS)))),
+    )
+
+
+def test_late_corrected_and_deleted_entries(spark, tmp_path):
+    path, base = str(tmp_path / "books"), str(tmp_path / "base")
+    entries = random_ledger(1) + [entry("till", 5, 0, day=None, year=None)]
+    write_books(make_books(spark, entries), path)
+    with pytest.raises(FileNotFoundError):
+        compact_ledger(spark, base)
+    assert len(refresh(spark, path, base)) == 7  # three months of two years, and no date
+    small, direct = dashboards(spark, path, base)
+    assert small == direct
+    assert compact_ledger(spark, base).count() < 0.7 * len(entries)
+
+    def month(e, year, number):
+        return e[4] == year and e[1] is not None and e[1].month == number
+
+    late = [e for e in entries if month(e, "2020", 2)] + [entry("ads", 77, 0, day=date(2020, 2, 28))]
+    rewrite_months(ledger_of(spark, late), path)
+    assert refresh(spark, path, base) == ["fiscal_year=2020/posting_month=2"]
+    small, direct_late = dashboards(spark, path, base)
+    assert small == direct_late != direct
+
+    corrected = [e for e in entries if month(e, "2019", 1)][1:] + [entry("new", 1, 1, day=date(2021, 5, 5), year="2021")]
+    rewrite_months(ledger_of(spark, corrected), path)
+    assert refresh(spark, path, base) == ["fiscal_year=2019/posting_month=1", "fiscal_year=2021/posting_month=5"]
+    small, direct = dashboards(spark, path, base)
+    assert small == direct
+
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger_files(path)}/fiscal_year=2020/posting_month=3")
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    assert refresh(spark, path, base) == ["fiscal_year=2020/posting_month=3"]
+    small, direct = dashboards(spark, path, base)
+    assert small == direct
+
+
+def test_an_unchanged_ledger_is_not_read(spark, tmp_path, monkeypatch):
+    path, base = str(tmp_path / "books"), str(tmp_path / "base")
+    write_books(make_books(spark, random_ledger(2)), path)
+    refresh(spark, path, base)
+    monkeypatch.setattr("ledgerbeam.sources.compact.compacted", None)  # would fail if called
+    with jobs(spark) as started:
+        assert refresh(spark, path, base) == []
+    assert started() <= 4  # the listing and the small table of versions
+    assert [p.name for p in (tmp_path / "base" / "data").iterdir()] == ["1"]
+
+
+def test_a_refresh_that_failed_is_done_again(spark, tmp_path, monkeypatch):
+    path, base = str(tmp_path / "books"), str(tmp_path / "base")
+    entries = random_ledger(3)
+    write_books(make_books(spark, entries), path)
+    refresh(spark, path, base)
+    before = by_value(rows(compact_ledger(spark, base)))
+    rewrite_months(ledger_of(spark, [entry("till", 9, 0, day=date(2020, 1, 9))]), path)
+    with monkeypatch.context() as broken:
+        broken.setattr("ledgerbeam.sources.compact._STATE", "no such type")
+        with pytest.raises(Exception):
+            refresh(spark, path, base)
+    assert by_value(rows(compact_ledger(spark, base))) == before
+    assert refresh(spark, path, base) == ["fiscal_year=2020/posting_month=1"]
+    small, direct = dashboards(spark, path, base)
+    assert small == direct
+
+
+def test_filters_prune_the_months_of_the_base(spark, tmp_path):
+    path, base = str(tmp_path / "books"), str(tmp_path / "base")
+    write_books(make_books(spark, random_ledger(4)), path)
+    refresh(spark, path, base)
+    ledger = compact_ledger(spark, base).filter("fiscal_year = '2020' AND posting_month = 2")
+    assert "PartitionFilters: [isnotnull" in ledger._jdf.queryExecution().executedPlan().toString()
+    assert {(r["fiscal_year"], r["posting_date"].month) for r in ledger.collect()} == {("2020", 2)}
+
+
+@pytest.mark.parametrize("name", [n for n in driver.PLANS if not n.endswith("_large_chart")])
+def test_every_query_answers_the_same(star_books, name):
+    plan = driver.PLANS[name]
+    small = replace(star_books, gl_entry=compacted(star_books.gl_entry))
+    assert by_value(rows(published(plan(small, driver.PARAMS)))) == by_value(
+        rows(published(plan(star_books, driver.PARAMS)))
+    )
+
+
+def test_missing_sides_stay_apart(spark):
+    ledger = ledger_of(spark, [entry("a", 1, None), entry("a", 2, None), entry("a", 3, 1), entry("a", None, None)])
+    got = {(r["debit"], r["credit"]) for r in compacted(ledger).select(F.col("debit").cast("int"), F.col("credit").cast("int")).collect()}
+    assert got == {(3, None), (3, 1), (None, None)}
