@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerbeam.llm.common import row_hash, rows_of, stored, text_of, without_repeats
+from ledgerbeam.llm.common import (
+    join_groups,
+    row_hash,
+    rows_of,
+    stored,
+    text_of,
+    without_repeats,
+)
 
 PREFIX_CHARS = 64
 
@@ -42,14 +49,15 @@ def progressive_dedup(docs: DataFrame, hash_all: bool = False) -> DataFrame:
     code points in its original text stays, then the smallest doc_id.
 
     1. One scan takes each row's length and the hash of its first characters.
-    2. Rows whose length occurs once are settled.
-    3. Of the others, rows whose prefix occurs once within their length are settled.
-    4. Only the content of what is left is hashed in full (``hash_all`` publishes the hash
+    2. One aggregate counts lengths and, within them, prefixes. Rows whose length occurs
+       once are settled, as are those whose prefix occurs once within its length.
+    3. Only the content of what is left is hashed in full (``hash_all`` publishes the hash
        of every row, so the scan takes it along), and equal hashes are groups.
 
-    Every step sums partially before it shuffles, and all but the full hash of survivors
+    Every aggregate sums partially before it shuffles, and all but the full hash of survivors
     works on rows of a few dozen bytes. No group is ever gathered: its best row is an
-    aggregate, so a group of a third of all rows costs no more than any other.
+    aggregate, and rows find their group through ``join_groups``, which broadcasts the few
+    large groups of a length, prefix or hash instead of shuffling their rows to one task.
 
     Returned: doc_id, row_hash, keep_id, group_size, kept, text_sha256 (NULL where
     ``hash_all`` is off and the row was settled before its content was read).
@@ -67,10 +75,10 @@ def _stored_keys(docs: DataFrame, hash_all: bool) -> DataFrame:
 
 
 def _decide(docs: DataFrame, keys: DataFrame, hash_all: bool) -> DataFrame:
-    by_length = keys.groupBy("bytes").agg(F.count("*").alias("n")).filter("n > 1")
-    alive = keys.join(by_length.drop("n"), "bytes", "left_semi")
-    by_prefix = alive.groupBy("bytes", "prefix").agg(F.count("*").alias("n")).filter("n > 1")
-    survivors = alive.join(by_prefix.drop("n"), ["bytes", "prefix"], "left_semi")
+    open_ = stored(
+        keys.groupBy("bytes", "prefix").agg(F.count("*").alias("n")).filter("n > 1")
+    )
+    survivors = join_groups(keys, open_, ["bytes", "prefix"], "n").drop("n")
     if hash_all:
         hashed = survivors
     else:
@@ -85,7 +93,7 @@ def _decide(docs: DataFrame, keys: DataFrame, hash_all: bool) -> DataFrame:
             survivors["*"], full["text_sha256"]
         )
     group = ["bytes", "prefix", "text_sha256"]
-    groups = (
+    groups = stored(
         hashed.groupBy(*group)
         .agg(
             F.count("*").alias("group_size"),
@@ -94,13 +102,10 @@ def _decide(docs: DataFrame, keys: DataFrame, hash_all: bool) -> DataFrame:
         .filter("group_size > 1")
     )
     if hash_all:
-        settled = keys.join(groups, group, "left")
+        settled = join_groups(keys, groups, group, "group_size", "left")
     else:
-        settled = keys.join(
-            hashed.join(groups, group).select("row", "text_sha256", "group_size", "best"),
-            "row",
-            "left",
-        )
+        found = join_groups(hashed, groups, group, "group_size")
+        settled = keys.join(found.select("row", "text_sha256", "group_size", "best"), "row", "left")
     alone = F.col("best").isNull()
     return settled.select(
         "doc_id",

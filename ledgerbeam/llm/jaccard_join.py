@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerbeam.llm.common import (
+    join_groups,
     map_batches,
     row_hash,
     rows_of,
@@ -347,8 +348,12 @@ def _joined(docs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
     classes = stored(
         signed.filter("copy IS NOT NULL")
         .groupBy("copy")
-        .agg(F.min(F.struct("doc_id", "row", "row_hash")).alias("best"), F.first("bands").alias("bands"))
-        .select("copy", "best", F.col("best.row").alias("node"), "bands")
+        .agg(
+            F.min(F.struct("doc_id", "row", "row_hash")).alias("best"),
+            F.first("bands").alias("bands"),
+            F.count("*").alias("n"),
+        )
+        .select("copy", "best", F.col("best.row").alias("node"), "bands", "n")
     )
     keys = classes.select("node", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -371,14 +376,20 @@ def _joined(docs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
     )
     links = decided.groupBy("node").agg(F.sum("links").alias("links"))
     labels = connected(decided.select("node", "root"))
-    placed = classes.select("copy", "best", "node").join(
+    placed = classes.select("copy", "best", "node", "n").join(
         links.join(labels, "node", "left"), "node", "left"
     )
     placed = placed.withColumn("label", F.coalesce("label", "node"))
-    classed = placed.groupBy("label").agg(F.min("best").alias("first"))
-    known = placed.join(classed, "label").select("copy", "best", "first", "links")
+    classed = stored(
+        placed.groupBy("label").agg(F.min("best").alias("first"), F.count("*").alias("members"))
+    )
+    known = stored(
+        join_groups(placed, classed, ["label"], "members").select("copy", "best", "first", "links", "n")
+    )
     alone = F.col("best").isNull()
-    return signed.join(known, "copy", "left").select(
+    copies = join_groups(signed.filter("copy IS NOT NULL"), known, ["copy"], "n")
+    rest = signed.filter("copy IS NULL")
+    return copies.unionByName(rest, allowMissingColumns=True).select(
         "doc_id",
         "row_hash",
         F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("copy_id"),
