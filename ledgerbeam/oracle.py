@@ -188,6 +188,7 @@ from ({queries["dashboard_series"]}) s group by series"""
         queries
         | {"dashboard_lists": lists}
         | {f"{name}_large_chart": queries[name] for name in large}
+        | {"dashboard_series_compact": queries["dashboard_series"]}
     )
 
 

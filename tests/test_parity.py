@@ -35,6 +35,7 @@ KNOWN |= {
     f"{name}_large_chart": KNOWN[name]
     for name in ("income_daily", "expense_category_rollup", "dashboard_series")
 }
+KNOWN["dashboard_series_compact"] = KNOWN["dashboard_series"]
 LISTS = "dashboard_lists"
 
 
