@@ -92,6 +92,7 @@ def _decide(docs: DataFrame, keys: DataFrame, hash_all: bool) -> DataFrame:
         hashed = survivors.join(full, same & (survivors["row_hash"] == full["row_hash"])).select(
             survivors["*"], full["text_sha256"]
         )
+        hashed = stored(hashed)  # read twice below, and made from texts
     group = ["bytes", "prefix", "text_sha256"]
     groups = stored(
         hashed.groupBy(*group)
