@@ -18,9 +18,8 @@ SAMPLE_PER_CLASS = 2000  # labelled documents of each class that the model is fi
 LONGEST_SAMPLED = 20_000  # characters; longer documents are scored, but not fitted on
 WORDS, GRAMS = 20_000, 20_000  # most frequent ones of the sample that have vectors
 WORD_DIM, GRAM_DIM, HIDDEN = 8, 8, 8
-WINDOW, STRIDE = 64, 48  # words; each window shares 16 with the next
-LONGEST_WORD = 64  # characters; longer runs, as of scripts without spaces, are read in segments
-SEGMENT, SEGMENT_STEP = 16, 8  # characters of a segment, each shares 8 with the next
+WINDOW, STRIDE = 64, 32  # words; any passage of up to 33 words lies whole in some window
+SEGMENT, SEGMENT_STEP = 16, 8  # characters of a word at most, and between a longer run's words
 EPOCHS, STEPS, BATCH, RATE = 4, 200, 64, 0.01  # at least so many epochs and so many steps
 DOUBT = 4.0  # how many documents a word's or 4-gram's first log-odds are held back by
 THRESHOLD = 0.3
@@ -32,20 +31,20 @@ _MOST_WORDS = 80_000  # distinct words that a Python worker remembers
 
 
 def segments_of(run: str) -> list[str]:
-    """Overlapping parts that together hold every 4-gram of a long run; the last one ends
-    with it."""
-    starts = [*range(0, len(run) - SEGMENT, SEGMENT_STEP), len(run) - SEGMENT]
-    return [run[at : at + SEGMENT] for at in starts]
+    """A run's stretches of ``SEGMENT`` characters, one each ``SEGMENT_STEP``; the last one
+    ends with the run. Together they hold every 4-gram. A run no longer than one is itself."""
+    last = max(0, len(run) - SEGMENT)
+    return [run[at : at + SEGMENT] for at in (*range(0, last, SEGMENT_STEP), last)]
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of word characters. One longer than ``LONGEST_WORD``, such as a sentence in a
-    script without spaces, counts as its segments: each is a word of its own, with its
+    """The segments of all runs of word characters, in order. Most runs are one word; a
+    longer one, such as a sentence in a script without spaces, is several, each with its
     4-grams and its place in the windows."""
-    words = _WORD.findall((text or "").lower())
-    if max(map(len, words), default=0) <= LONGEST_WORD:
-        return words
-    return [s for w in words for s in (segments_of(w) if len(w) > LONGEST_WORD else (w,))]
+    runs = _WORD.findall((text or "").lower())
+    if max(map(len, runs), default=0) <= SEGMENT:
+        return runs  # each is its only segment
+    return [part for run in runs for part in segments_of(run)]
 
 
 def grams_of(word: str) -> list[str]:
@@ -343,7 +342,7 @@ def train(texts: Sequence[str | None], toxic: Sequence[int], rate: float, seed:
     shared: dict[str, str] = {}  # one object per word, however often it occurs
     words = [[shared.setdefault(w, w) for w in words_of(t)] for t in texts]
     aside = np.arange(len(words)) % 5 == 4
-    if len(set(target[~aside])) < 2:  # nothing to tell apart
+    if len(set(target[~aside])) < 2:  # the labels tell nothing apart
         net = _initial(words, target, rng)
         net.p["out"][:] = 0
         return Network(net.words, net.grams, net.p, (0.0, -30.0 if rate < 1 else 30.0))
@@ -406,7 +405,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     of ``docs`` against a broadcast of at most ``4 * per_class`` ids. Documents beyond
     ``LONGEST_SAMPLED`` characters are left out of it, which bounds what reaches the
     driver. Labels without an id or a value are ignored; of several for one id the highest
-    counts.
+    counts. Where all documents found of a class are beyond that length, this is an error,
+    since the scores would call everything the other class.
     """
     usable = (
         labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
@@ -422,17 +422,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
         part = part.limit(2 * per_class)
         sample = part if sample is None else sample.unionByName(part)
     sample = sample.select(F.col("doc_id").alias("label_doc_id"), "label_toxic")
+    text = text_of(docs)
     rows = (
-        docs.select("doc_id", text_of(docs).alias("text"))
-        .filter(F.length("text") <= LONGEST_SAMPLED)
+        docs.select("doc_id", F.when(F.length(text) <= LONGEST_SAMPLED, text).alias("text"))
         .join(F.broadcast(sample), F.col("doc_id") == F.col("label_doc_id"))
         .groupBy("doc_id")
         .agg(F.min("text").alias("text"), F.max("label_toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .collect()
     )
-    chosen = [r for y in (0, 1) for r in [r for r in rows if r["toxic"] == y][:per_class]]
+    short = [r for r in rows if r["text"] is not None]
+    chosen = [r for y in (0, 1) for r in [r for r in short if r["toxic"] == y][:per_class]]
     chosen.sort(key=lambda r: r["doc_id"])
+    unseen = {r["toxic"] for r in rows} - {r["toxic"] for r in chosen}
+    if unseen:
+        raise ValueError(f"all documents labelled {unseen} are over {LONGEST_SAMPLED} characters")
     return train([r["text"] for r in chosen], [r["toxic"] for r in chosen], rate)
 
 

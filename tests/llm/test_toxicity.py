@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -87,14 +88,77 @@ def test_held_out_accuracy(spark):
     assert right / len(unseen) > 0.97
 
 
-@pytest.mark.parametrize("n", [65, 66, 72, 73, 80, 1000])
+def test_a_passage_of_thirty_words_lies_whole_in_a_window():
+    for n in (*range(30, 200, 7), 1000):
+        starts = tx.window_starts(n)
+        for at in range(n - 29):
+            assert any(s <= at and at + 30 <= s + tx.WINDOW for s in starts)
+
+
+def slow_score(net, text):
+    """One word, one window and one number after another, without anything remembered."""
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    size, words = tx.HIDDEN, tx.words_of(text)
+
+    def sigmoid(x):
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+    def entered(word):
+        grams = [p["gram"][net.grams[g]] for g in tx.grams_of(word) if g in net.grams]
+        mean = [sum(g[d] for g in grams) / len(grams) if grams else 0.0 for d in range(tx.GRAM_DIM)]
+        return p["word"][net.words.get(word, tx._UNKNOWN)] + mean
+
+    def walked(inputs, side):
+        w, bias, rec = p[f"in_{side}"], p[f"bias_{side}"], p[f"rec_{side}"]
+        h, states = [0.0] * size, []
+        for x in inputs:
+            a = [bias[j] + sum(x[i] * w[i][j] for i in range(len(x))) for j in range(3 * size)]
+            g = [sum(h[i] * rec[i][j] for i in range(size)) for j in range(3 * size)]
+            z = [sigmoid(a[j] + g[j]) for j in range(size)]
+            r = [sigmoid(a[size + j] + g[size + j]) for j in range(size)]
+            new = [math.tanh(a[2 * size + j] + r[j] * g[2 * size + j]) for j in range(size)]
+            h = [z[j] * h[j] + (1 - z[j]) * new[j] for j in range(size)]
+            states.append(h)
+        return states
+
+    best = -math.inf
+    for start in tx.window_starts(len(words)):
+        inputs = [entered(w) for w in words[start : start + tx.WINDOW]]
+        pooled = [0.0] * (2 * size)
+        if inputs:
+            back = walked(inputs[::-1], "b")[::-1]
+            states = [a + b for a, b in zip(walked(inputs, "a"), back, strict=True)]
+            focus = [math.exp(sum(f * x for f, x in zip(p["focus"], s, strict=True))) for s in states]
+            pooled = [sum(f * s[j] for f, s in zip(focus, states, strict=True)) / sum(focus) for j in range(2 * size)]
+        best = max(best, p["out_bias"][0] + sum(o * x for o, x in zip(p["out"], pooled, strict=True)))
+    return sigmoid(net.scale[0] * best + net.scale[1])
+
+
+def test_scores_equal_a_slow_forward_pass(spark):
+    rows = corpus(120, 3)
+    net = tx.train([t for _, t, _ in rows], [y for *_, y in rows], 0.2)
+    texts = [t for _, t, _ in rows[:12]] + ["", "unheard of", "罵詈" * 60, "good " * 31]
+    docs = documents(spark, enumerate(texts))
+    got = {r["doc_id"]: r["score"] for r in tx.score(docs, net).collect()}
+    assert all(abs(got[i] - slow_score(net, t)) < 1e-6 for i, t in enumerate(texts))
+
+
+def test_a_class_of_long_documents_alone_is_refused(spark):
+    docs = documents(spark, [(i, "w " * (20_000 if i % 3 == 0 else 5)) for i in range(1, 60)])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1, 60)], "doc_id long, toxic int")
+    with pytest.raises(ValueError, match="labelled {1}"):
+        tx.fit(docs, labels)
+    assert tx.score(docs, tx.fit(docs, labels.filter("toxic = 0"))).filter("predicted = 1").isEmpty()
+
+
+@pytest.mark.parametrize("n", [16, 17, 24, 25, 64, 65, 66, 72, 73, 80, 1000])
 def test_long_runs_are_read_whole(n):
     run = "".join(chr(0x4E00 + i) for i in range(n))
     words = tx.words_of(f"short {run} end")
     assert words[0] == "short" and words[-1] == "end"
     found = {g for w in words[1:-1] for g in tx.grams_of(w)}
     assert {run[i : i + 4] for i in range(n - 3)} <= found
-    assert max(map(len, words)) <= tx.LONGEST_WORD and "".join(words[1:-1]).endswith(run[-3:])
+    assert max(map(len, words)) <= tx.SEGMENT and "".join(words[1:-1]).endswith(run[-3:])
 
 
 def test_toxic_part_far_inside_a_text_without_spaces():
