@@ -103,6 +103,86 @@ def test_coreference_within_and_across_documents(spark):
     assert re.sub(r"\D", "", found[2]) == re.sub(r"\D", "", found[3])
 
 
+def test_one_person_under_several_titles(spark):
+    got = replaced(
+        spark,
+        "Dr. Anna Smith wrote; Anna Smith agreed; Mrs. Anna Smith signed. Anna left.",
+        "Prof. Anna Smith and Mr. Robin Smith",
+        "Mrs. Robin Jones met Dr. Robin Jones",
+        "Mr. Robin Hill and Mrs. Robin Hill met Dr. Robin Hill",
+        "Dr. Robin Hill alone",
+    )
+    one = re.fullmatch(r"Dr\. (\w+) (\w+) wrote; (\w+) (\w+) agreed; Mrs\. (\w+) (\w+) signed\. (\w+) left\.", got[0][0])
+    assert one[1] == one[3] == one[5] == one[7] != "Anna" and one[1].endswith("na")
+    assert one[2] == one[4] == one[6] != "Smith"
+    two = re.fullmatch(r"Prof\. (\w+) (\w+) and Mr\. (\w+) (\w+)", got[1][0])
+    assert two[1] == one[1] and two[2] == two[4] == one[2]  # the table tells Anna's gender
+    three = re.fullmatch(r"Mrs\. (\w+) \w+ met Dr\. (\w+) \w+", got[2][0])
+    assert three[1] == three[2] == two[3][:-1] + "na"  # Robin by the document's own title
+    four = re.fullmatch(r"Mr\. (\w+) \w+ and Mrs\. (\w+) \w+ met Dr\. (\w+) \w+", got[3][0])
+    assert (four[1], four[2], four[3]) == (two[3], three[1], two[3][:-1] + "s")
+    assert got[4][0].split()[1] == four[3]
+
+
+def test_one_phone_with_and_without_its_country_code(spark):
+    (new, n), = replaced(spark, "+14155552671, +1 (415) 555-2671, 415-555-2671, 1-415-555-2671, +44 415 555 2671")
+    found = re.fullmatch(r"\+1(\d{10}), \+1 \((\d{3})\) (\d{3})-(\d{4}), (\d{3}-\d{3}-\d{4}), 1-(\S+), \+44 (\d{3} \d{3} \d{4})", new)
+    ten = found[2] + found[3] + found[4]
+    assert n == 5 and found[1] == ten != "4155552671"
+    assert found[5] == found[6] == f"{found[2]}-{found[3]}-{found[4]}"
+    assert found[7].replace(" ", "") != ten
+
+
+def test_small_formats_are_filled_by_rank(spark):
+    """Almost all of 192.168 and of a short phone format occur; private addresses go on in 172.16."""
+    entities = spark.range(60_000).select(
+        F.lit("address").alias("kind"),
+        F.format_string("192.168.%d.%d", (F.col("id") / 254).cast("int"), F.col("id") % 254 + 1).alias("canon"),
+    ).unionByName(
+        spark.range(39_000).select(
+            F.lit("phone").alias("kind"), F.concat(F.lit("+"), (F.col("id") + 20_000).cast("string")).alias("canon")
+        )
+    )
+    got = sg.distinct_surrogates(entities, "k").toPandas()
+    assert len(got) == 99_000 and not got.duplicated(["kind", "surrogate"]).any()
+    assert not got.duplicated(["kind", "canon"]).any()
+    addresses, phones = (got[got["kind"] == k] for k in ("address", "phone"))
+    for part in (addresses, phones):
+        assert not set(part["surrogate"]) & set(part["canon"])
+    assert addresses["surrogate"].str.fullmatch(r"192\.168\.\d+\.\d+|172\.(1[6-9]|2\d|3[01])\.\d+\.\d+").all()
+    assert addresses["surrogate"].str.startswith("192.168.").sum() == 256 * 254 - 60_000
+    assert phones["surrogate"].str.fullmatch(r"\+[2-9]\d{4}").all()
+
+
+def test_a_full_format_is_an_error(spark):
+    entities = spark.range(50_000).select(
+        F.lit("phone").alias("kind"), F.concat(F.lit("+"), (F.col("id") + 20_000).cast("string")).alias("canon")
+    )
+    with pytest.raises(ValueError, match="phone"):
+        sg.distinct_surrogates(entities, "k")
+
+
+def test_texts_between_entities_stay_and_the_mapping_is_one_to_one(spark):
+    """Found anew in Python: old and new texts differ in the entities alone."""
+    finder = re.compile(
+        r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\+\d \(\d{3}\) \d{3}-\d{4}|(?<![\d.])\d+\.\d+\.\d+\.\d+(?!\d)"
+        r"|\b[0-9a-f]{40}\b|(?<!\d)\d{16}(?!\d)"
+    )
+    docs = table(spark, "documents", "0.01")
+    old = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    to, back, n = {}, {}, 0
+    for r in sg.replace_entities(docs, "k").collect():
+        before, after = old[r["doc_id"]], r["text"] or ""
+        assert finder.split(before) == finder.split(after)
+        for a, b in zip(finder.findall(before), finder.findall(after), strict=True):
+            if a.isdigit() and not luhn(a):
+                assert a == b
+                continue
+            n += 1
+            assert to.setdefault(a.lower(), b) == b and back.setdefault(b, a.lower()) == a.lower() and a != b
+    assert n > 50
+
+
 def test_depends_on_the_key_alone(spark):
     text = "a.b@c.org and 9.8.7.6"
     assert replaced(spark, text) == replaced(spark, text) != replaced(spark, text, key="other")
