@@ -15,6 +15,7 @@ from ledgerbeam.operators.balances import (
 )
 from ledgerbeam.operators.daily import account_daily_credit, daily_count, daily_total, ledger_daily
 from ledgerbeam.operators.parties import top_parties
+from ledgerbeam.operators.pruned import top_parties_pruned
 from ledgerbeam.operators.rollup import category_frame, category_rollup
 from ledgerbeam.operators.totals import income_vs_expense, root_type_totals
 
@@ -31,4 +32,5 @@ __all__ = [
     "ledger_daily",
     "root_type_totals",
     "top_parties",
+    "top_parties_pruned",
 ]

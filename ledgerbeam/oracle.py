@@ -189,6 +189,7 @@ from ({queries["dashboard_series"]}) s group by series"""
         | {"dashboard_lists": lists}
         | {f"{name}_large_chart": queries[name] for name in large}
         | {"dashboard_series_compact": queries["dashboard_series"]}
+        | {"top_customers_by_payment_pruned": queries["top_customers_by_payment"]}
     )
 
 

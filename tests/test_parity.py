@@ -36,6 +36,7 @@ KNOWN |= {
     for name in ("income_daily", "expense_category_rollup", "dashboard_series")
 }
 KNOWN["dashboard_series_compact"] = KNOWN["dashboard_series"]
+KNOWN["top_customers_by_payment_pruned"] = KNOWN["top_customers_by_payment"]
 LISTS = "dashboard_lists"
 
 

@@ -17,7 +17,7 @@ from tests.helpers import TESTDATA, entry, jobs, make_books, plan_of, rows
 JOINED = {
     name
     for name in driver.PLANS
-    if not name.endswith(("_large_chart", "_compact"))
+    if not name.endswith(("_large_chart", "_compact", "_pruned"))
     and name
     not in (
         "sales_paid_daily",
