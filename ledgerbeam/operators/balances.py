@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerbeam.functions import in_calendar_month, in_month_of_year, net_amount
-from ledgerbeam.sources.chart import ChartOfAccounts
+from ledgerbeam.sources.chart import ChartOfAccounts, account_key
 
 
 def _balances(
     gl: DataFrame, chart: ChartOfAccounts, parents: Sequence[str], rows: Column, name: str
 ) -> DataFrame:
-    entries = gl.filter(rows).select("account", net_amount().alias(name))
+    entries = gl.filter(rows).select(*account_key(gl), net_amount().alias(name))
     return (
         chart.attach(entries, chart.under(parents), sums=[name])
         .groupBy(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerbeam.functions import net_amount, same_text
-from ledgerbeam.sources.chart import ChartOfAccounts
+from ledgerbeam.sources.chart import ChartOfAccounts, account_key
 
 
 def total_per_day(
@@ -51,7 +51,7 @@ def ledger_per_day(
     gl: DataFrame, chart: ChartOfAccounts, parents: Sequence[str], name: str
 ) -> DataFrame:
     """``ledger_daily`` without its sort, for use inside a larger plan."""
-    entries = gl.select("account", "posting_date", net_amount().alias(name))
+    entries = gl.select(*account_key(gl), "posting_date", net_amount().alias(name))
     return (
         chart.attach(entries, chart.under(parents), sums=[name])
         .groupBy("posting_date", F.col("parent_account").alias("account_parent"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerbeam.functions import net_amount
-from ledgerbeam.sources.chart import ChartOfAccounts
+from ledgerbeam.sources.chart import ChartOfAccounts, account_key
 
 
 def check_categories(categories: Sequence[str]) -> None:
@@ -37,7 +37,7 @@ def category_totals(
     """Net amount per category that has entries, with one column for each measure."""
     names = list(measures)
     entries = gl.filter(reduce(or_, measures.values())).select(
-        "account", *(F.when(rows, net_amount()).alias(name) for name, rows in measures.items())
+        *account_key(gl), *(F.when(rows, net_amount()).alias(name) for name, rows in measures.items())
     )
     return (
         chart.attach(entries, chart.under(categories), sums=names)

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerbeam.functions import net_of_sums
-from ledgerbeam.sources.chart import ChartOfAccounts
+from ledgerbeam.sources.chart import ChartOfAccounts, account_key
 
 
 def _entries_of_year(gl: DataFrame, fiscal_year: str) -> DataFrame:
-    return gl.filter(F.col("fiscal_year") == fiscal_year).select("account", "debit", "credit")
+    rows = gl.filter(F.col("fiscal_year") == fiscal_year)
+    return rows.select(*account_key(gl), "debit", "credit")
 
 
 def root_type_totals(

@@ -27,7 +27,7 @@ from ledgerbeam.operators.daily import count_per_day, ledger_per_day, total_per_
 from ledgerbeam.operators.parties import top_parties
 from ledgerbeam.plans.params import DashboardParams
 from ledgerbeam.sources.books import Books
-from ledgerbeam.sources.chart import Selection
+from ledgerbeam.sources.chart import Selection, account_key
 
 # The ledger series, and the labels of those with a single net amount.
 _CATEGORY_SERIES = ("cash_cur", "cash_prev", "expense_cur", "expense_prev")
@@ -164,7 +164,7 @@ def _from_two_passes(books: Books, params: DashboardParams) -> DataFrame:
         "expense_prev": month_before,
     }
     entries = gl.filter(reduce(Column.__or__, net_rows.values())).select(
-        "account",
+        *account_key(gl),
         *(F.when(rows, net_amount()).alias(series) for series, rows in net_rows.items()),
         *(F.when(year == params.fiscal_year, F.col(side)).alias(side) for side in ("debit", "credit")),
     )

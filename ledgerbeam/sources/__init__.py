@@ -8,6 +8,7 @@ from ledgerbeam.sources.books import (
     rewrite_months,
     write_books,
 )
+from ledgerbeam.sources.by_account import open_books_by_account, write_books_by_account
 from ledgerbeam.sources.chart import BROADCAST_LIMIT_BYTES, ChartOfAccounts, DuplicateAccounts
 from ledgerbeam.sources.compact import compact_ledger, compacted, refresh, with_compact_ledger
 from ledgerbeam.sources.splits import SPLIT_TABLES, SplitTable, date_splits
@@ -27,8 +28,10 @@ __all__ = [
     "compacted",
     "date_splits",
     "open_books",
+    "open_books_by_account",
     "refresh",
     "rewrite_months",
     "with_compact_ledger",
     "write_books",
+    "write_books_by_account",
 ]

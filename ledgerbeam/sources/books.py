@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ledgerbeam.functions import month_number, text_key
-from ledgerbeam.sources.chart import BROADCAST_LIMIT_BYTES, ChartOfAccounts
+from ledgerbeam.sources.chart import BROADCAST_LIMIT_BYTES, PART, ChartOfAccounts
 from ledgerbeam.sources.schemas import MONEY, STORED, conform, table_schemas
 from ledgerbeam.sources.splits import SPLIT_TABLES, split_reader
 
@@ -42,7 +42,7 @@ class Books:
         """Take the tables by name, check their types, and verify the account table."""
         shaped = {
             name: conform(
-                tables[name], schema, exact_floats, STORED.get(name, T.StructType()).names
+                tables[name], schema, exact_floats, (*STORED.get(name, T.StructType()).names, PART)
             )
             for name, schema in table_schemas(money).items()
         }
@@ -141,7 +141,7 @@ def write_books(books: Books, path: str) -> None:
     """
     for name, df in books.tables().items():
         target = f"{path}/{name}"
-        df = df.drop(*STORED.get(name, T.StructType()).names)
+        df = df.drop(*STORED.get(name, T.StructType()).names, PART)
         if name == "gl_entry":
             _write_ledger(df, target, "error")
         elif name in STORED:
@@ -157,7 +157,7 @@ def rewrite_months(ledger: DataFrame, path: str) -> None:
     overwritten one by one, so nothing else is read or written; ``ledger`` must not read
     the files that it replaces. A month that has no entries left is not touched: keep an
     entry of no amount, or remove its folder."""
-    _write_ledger(ledger.drop(*STORED["gl_entry"].names), ledger_files(path), "overwrite")
+    _write_ledger(ledger.drop(*STORED["gl_entry"].names, PART), ledger_files(path), "overwrite")
 
 
 def open_books(spark: SparkSession, path: str, money: T.DecimalType = MONEY) -> Books:

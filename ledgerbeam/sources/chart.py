@@ -16,6 +16,10 @@ FILTER_LIMIT_BYTES = 256 * 1024 * 1024
 # word costs in the map that executors look it up in.
 _ACCOUNTS_PER_WORD, _BITS, _WORD_BYTES = 2, 5, 64
 
+# The part of a hot account that an entry is in, in a ledger stored by account, and the
+# column of the chart that it joins.
+PART, NAME_PART = "account_part", "name_part"
+
 # What a hashed row costs beside its text: row header, four fixed slots, map entry.
 _ROW_OVERHEAD_BYTES = 100
 
@@ -29,6 +33,11 @@ class DuplicateAccounts(ValueError):
     """An account name occurs twice, so a join would count its entries twice."""
 
 
+def account_key(ledger: DataFrame) -> list[str]:
+    """What joins an entry to its account: the account, and its part where the ledger has one."""
+    return [c for c in ("account", PART) if c in ledger.columns]
+
+
 def _word_of(name: str, words: int) -> Column:
     return F.pmod(F.xxhash64(name), F.lit(words).cast("long"))
 
@@ -63,7 +72,8 @@ class ChartOfAccounts:
     Ledgers are usually huge and their chart of accounts small, but nothing
     guarantees the second. The measured size decides how ``attach`` joins. Of a chart that
     is too large as a whole, each selection is measured once and remembered in ``sizes``, as
-    rows and bytes.
+    rows and bytes. ``parts`` is the chart as it lies beside a ledger stored by account, one
+    row for each part of an account.
     """
 
     df: DataFrame
@@ -71,6 +81,7 @@ class ChartOfAccounts:
     size_bytes: int
     broadcast_limit_bytes: int = BROADCAST_LIMIT_BYTES
     filter_limit_bytes: int = FILTER_LIMIT_BYTES
+    parts: DataFrame | None = field(default=None, compare=False, repr=False)
     sizes: dict[tuple, tuple[int, int]] = field(default_factory=dict, compare=False, repr=False)
 
     @classmethod
@@ -205,12 +216,21 @@ class ChartOfAccounts:
         whose hot partitions adaptive execution splits, and the caller's sum starts in the
         tasks of the join. The merge hint keeps Spark from broadcasting after all, on the
         word of a file size that compression has made small.
+
+        A ledger stored by account (``write_books_by_account``) lies as that shuffle would
+        deal it, and is summed and joined where it is read.
         """
         selected = selection.of(self)
         if self.fits_broadcast(selection):
             return self.label(ledger, selected)
         ledger = self.narrowed(ledger, selection)
-        keys = [c for c in ledger.columns if c not in sums]
-        if keys == ["account"]:
-            ledger = ledger.groupBy("account").agg(*(F.sum(c).alias(c) for c in sums))
-        return ledger.join(selected.hint("merge"), F.col("account") == F.col("name")).drop("name")
+        same = F.col("account") == F.col("name")
+        if self.parts is None:
+            ledger = ledger.drop(PART)
+        elif PART in ledger.columns:
+            selected = self.parts.filter(selection.rows).select("name", NAME_PART, selection.label)
+            same &= F.col(PART) == F.col(NAME_PART)
+        keys = account_key(ledger)
+        if [c for c in ledger.columns if c not in sums] == keys:
+            ledger = ledger.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
+        return ledger.join(selected.hint("merge"), same).drop("name", PART, NAME_PART)
