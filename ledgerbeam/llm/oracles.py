@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerbeam.llm.params import URL_RULES
-from ledgerbeam.llm.url_filter import (
-    ALPHABET,
-    CONTEXT,
-    GRAM,
-    HELD_BACK,
-    OTHER,
-    START,
-    STEPS,
-    STRENGTH,
-)
+from ledgerbeam.llm.params import SHARDS, URL_RULES
+from ledgerbeam.llm.sharding import TABLE_SIZE, lookup_table
+from ledgerbeam.llm.url_filter import CONTEXT, GRAM, HELD_BACK, START, STEPS, STRENGTH
 
 EXACT_DEDUP = """
 with keyed as (
@@ -34,7 +26,7 @@ def _url_filter() -> str:
     held = ", ".join(f"'{d}'" for d in HELD_BACK)
 
     def share(side: str) -> str:
-        p = f"((sum({side}) over (partition by substr(gram, {GRAM}, 1)) + {STRENGTH / (len(ALPHABET) + 1)}) / (all_{side} + {STRENGTH}))"
+        p = f"((sum({side}) over (partition by substr(gram, {GRAM}, 1)) + {STRENGTH} / characters) / (all_{side} + {STRENGTH}))"
         for k in range(1, CONTEXT + 1):
             at = GRAM - k
             p = (
@@ -55,7 +47,7 @@ cut as (
 ), split as (
     select page_id, regexp_extract(rest, '^[^/?#]*') as host_part,
            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
-           regexp_replace(lower(read), '[^a-z0-9./\\-_?=&%#:~+@]', '{OTHER}', 'g') as text
+           translate(read, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
     from addressed
 ), hosts as (
     select page_id, path, text,
@@ -85,7 +77,9 @@ cut as (
            sum(case when label = 0 and not held_back then 1 else 0 end) as rejected
     from grams group by gram
 ), totals as (
-    select sum(accepted) as all_accepted, sum(rejected) as all_rejected from counts
+    select sum(accepted) as all_accepted, sum(rejected) as all_rejected,
+           cast(count(distinct substr(gram, {GRAM}, 1)) + 1 as double) as characters
+    from counts
 ), ratios as (
     select gram, {share("accepted")} - {share("rejected")} as log_ratio from counts, totals
 ), scored as (
@@ -197,9 +191,27 @@ left join children c on c.depth = n.depth and c.path = n.path
 left join nodes u on u.depth = n.depth - 1 and u.path = n.path[1:n.depth - 1]
 """
 
+
+def _sharding() -> str:
+    """The table of slots is a text of three digits a slot; tests fill it by brute force."""
+    slots = "".join(f"{i:03d}" for i in lookup_table(SHARDS))
+    return f"""
+with placed as (
+    select doc_id, cast(cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15)
+                             as bigint) % {TABLE_SIZE} as integer) as slot
+    from documents
+), found as (
+    select doc_id, slot, cast(substr('{slots}', 3 * slot + 1, 3) as integer) as shard_index from placed
+)
+select doc_id, slot, shard_index, 'shard-' || lpad(cast(shard_index as varchar), 3, '0') as shard
+from found
+"""
+
+
 ORACLES = {
     "op2_url_filter": _url_filter(),
     "op5_exact_dedup": EXACT_DEDUP,
+    "op10_sharding": _sharding(),
     "op11_prefix_trie": PREFIX_TRIE,
     "op13_fill_in_middle": FILL_IN_MIDDLE,
 }

@@ -9,14 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerbeam.llm.common import stored
+from ledgerbeam.llm.common import join_groups, stored
 
-# Characters that the models tell apart; every other one is read as OTHER.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./-_?=&%#:~+@"
-OTHER, START = "*", "^"
-CONTEXT = 3  # longest context in characters
+START = "\u0002"  # stands before the first character
+CONTEXT = 5  # longest context in characters
 GRAM = CONTEXT + 1
-MOST_GRAMS = (len(ALPHABET) + 2) ** GRAM  # 6.8 million: the bound on what is broadcast
+BROADCAST_BYTES = 128 * 1024 * 1024  # the table of log-ratios is copied up to this size
+_GRAM_BYTES = 150  # what a row of that table costs in a map of texts
 STRENGTH = 4.0  # how many sightings a context needs to outweigh the next shorter one
 HELD_BACK = "012"  # first MD5 digits of the URLs that calibrate instead of being counted
 STEPS = 100  # thresholds tried per nat
@@ -62,11 +61,12 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def model_text(url: Column) -> Column:
-    """What the models read: the URL behind its scheme, lower-cased, in ``ALPHABET``."""
+    """What the models read: the URL behind its scheme, A-Z lower-cased."""
     url = F.coalesce(url, F.lit(""))
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(url)
-    return F.regexp_replace(F.lower(rest), r"[^a-z0-9./\-_?=&%#:~+@]", OTHER)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(rest, upper, upper.lower())
 
 
 def _grams(text: Column) -> Column:
@@ -77,39 +77,94 @@ def _grams(text: Column) -> Column:
     )
 
 
+def _counts(urls: DataFrame) -> DataFrame:
+    """How often each gram occurs at all (``seen``) and in counted URLs of either class."""
+    counted = F.when(~F.col("held_back"), F.col("label"))
+    return (
+        urls.select(counted.alias("label"), F.explode(_grams(F.col("text"))).alias("gram"))
+        .groupBy("gram")
+        .agg(
+            F.count("*").alias("seen"),
+            F.count_if(F.col("label") == 1).alias("accepted"),
+            F.count_if(F.col("label") == 0).alias("rejected"),
+        )
+    )
+
+
 def _log_ratios(counts: DataFrame) -> DataFrame:
     """Each gram's log probability under the accepted model less that under the rejected.
 
     ``p_k(c | context) = (n(context c) + STRENGTH p_(k-1)(c | shorter context)) /
-    (n(context) + STRENGTH)``, from the uniform distribution up to ``CONTEXT`` characters.
-    The windows partition a table of at most ``MOST_GRAMS`` rows.
+    (n(context) + STRENGTH)``, up to ``CONTEXT`` characters of context and down to the uniform
+    distribution over all characters that occur, and one more.
+
+    ``counts`` is a stored table. The shortest strings come first; those with one character
+    more are joined to their context and to their shorter end. A key of such a join has at
+    most one row per character, so none is hot however many grams there are.
     """
+    sides = ("accepted", "rejected")
 
-    def within(*keys: Column) -> Window:
-        return Window.partitionBy(*keys)
+    def summed(first: int, length: int, *prefix: str) -> DataFrame:
+        return counts.groupBy(F.substring("gram", first, length).alias(prefix[0])).agg(
+            *(F.sum(side).alias(prefix[1] + side) for side in sides)
+        )
 
-    gram = F.col("gram")
-    out = counts
-    total = counts.agg(
-        F.coalesce(F.sum("accepted"), F.lit(0)).alias("all_accepted"),
-        F.coalesce(F.sum("rejected"), F.lit(0)).alias("all_rejected"),
+    letters = summed(GRAM, 1, "string", "n_")
+    total = letters.agg(
+        *(F.coalesce(F.sum(f"n_{side}"), F.lit(0)).alias(f"all_{side}") for side in sides),
+        (F.count("*") + 1).alias("characters"),
         F.lit(1).alias("one"),
     )
-    out = out.join(F.broadcast(total), F.lit(1) == F.col("one")).drop("one")
-    last = F.substring(gram, GRAM, 1)
-    logs = {}
-    for side in ("accepted", "rejected"):
-        p = (F.sum(side).over(within(last)) + STRENGTH / (len(ALPHABET) + 1)) / (
-            F.col(f"all_{side}") + STRENGTH
-        )
-        for k in range(1, CONTEXT + 1):
-            context = F.substring(gram, GRAM - k, k)
-            whole = F.substring(gram, GRAM - k, k + 1)
-            p = (F.sum(side).over(within(whole)) + STRENGTH * p) / (
-                F.sum(side).over(within(context)) + STRENGTH
+    known = letters.join(F.broadcast(total), F.lit(1) == F.col("one")).select(
+        F.col("string").alias("end"),
+        *(
+            ((F.col(f"n_{s}") + F.lit(STRENGTH) / F.col("characters"))
+             / (F.col(f"all_{s}") + STRENGTH)).alias(f"p_{s}")
+            for s in sides
+        ),
+    )
+    for k in range(1, CONTEXT + 1):
+        at = GRAM - k
+        longer = counts.select(F.col("gram").alias("string"), *(F.col(s).alias(f"n_{s}") for s in sides))
+        if k < CONTEXT:
+            longer = summed(at, k + 1, "string", "n_")
+        known = (
+            longer.withColumn("context", F.substring("string", 1, k))
+            .withColumn("end", F.substring("string", 2, k))
+            .join(summed(at, k, "context", "all_"), "context")
+            .join(known, "end")
+            .select(
+                F.col("string").alias("end"),
+                *(
+                    ((F.col(f"n_{s}") + STRENGTH * F.col(f"p_{s}"))
+                     / (F.col(f"all_{s}") + STRENGTH)).alias(f"p_{s}")
+                    for s in sides
+                ),
             )
-        logs[side] = F.log(p)
-    return out.select("gram", (logs["accepted"] - logs["rejected"]).alias("log_ratio"))
+        )
+    return known.select(
+        F.col("end").alias("gram"), (F.log("p_accepted") - F.log("p_rejected")).alias("log_ratio")
+    )
+
+
+def _scored(urls: DataFrame, ratios: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """``urls`` with the mean log-ratio of their grams.
+
+    The table of ratios is copied to the executors while its measured size allows, and no gram
+    is shuffled then. Otherwise only grams so frequent that they would crowd one task are
+    copied; the others are shuffled with the number of their URL.
+    """
+    mean = F.round(F.avg("log_ratio"), 6).alias("score")
+    if ratios.count() * _GRAM_BYTES <= broadcast_bytes:
+        grams = urls.select("*", F.explode(_grams(F.col("text"))).alias("gram"))
+        return (
+            grams.join(F.broadcast(ratios), "gram")
+            .groupBy("number", "text", "label", "held_back", "pages")
+            .agg(mean)
+        )
+    grams = urls.select("number", F.explode(_grams(F.col("text"))).alias("gram"))
+    scores = join_groups(grams, ratios, ["gram"], "seen").groupBy("number").agg(mean)
+    return urls.join(scores, "number")
 
 
 def _threshold(scored: DataFrame) -> DataFrame:
@@ -147,7 +202,9 @@ def _threshold(scored: DataFrame) -> DataFrame:
     )
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def judge_urls(
+    pages: DataFrame, rules: Sequence[Rule], broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Allow or block each row of ``pages`` (page_id, url).
 
     The longest fitting rule decides. URLs that the rules allow are the examples of the
@@ -155,9 +212,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     the difference of the two models' mean log-likelihood per character, rounded to
     six places, reaches a threshold calibrated on labelled URLs that were not counted.
 
-    Counts cover all URLs; equal ones are merged first and count once. Only two things
-    are broadcast: log-ratios of at most ``MOST_GRAMS`` character sequences, and one
-    threshold. No Python runs: everything is an expression.
+    The models tell all characters apart and look at up to ``CONTEXT`` characters before each.
+    Counts cover all URLs; equal ones are merged first and count once. One threshold is
+    broadcast, and the log-ratios of all sequences of ``GRAM`` characters while they are
+    measured to take at most ``broadcast_bytes``; beyond that they are joined by a shuffle, with
+    the same result. A URL of many rows is joined to its score without a shuffle of these
+    rows. No Python runs: everything is an expression.
 
     Returned: page_id, host, path, rule (NULL if the models decided), verdict, score
     (NULL if a rule decided or there is no text). A NULL url, or one without ``://``, has
@@ -168,40 +228,28 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     judged = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn(
         "match", matching_rule(F.col("host"), F.col("path"), rules)
     )
+    label = F.when(F.col("match.verdict") == "allow", 1).when(
+        F.col("match.verdict") == "block", 0
+    )
     text = model_text(F.col("url"))
     urls = stored(
-        judged.select(
-            text.alias("text"),
-            F.when(F.col("match.verdict") == "allow", 1)
-            .when(F.col("match.verdict") == "block", 0)
-            .alias("label"),
-        )
-        .distinct()
+        judged.select(text.alias("text"), label.alias("label"))
         .filter("text <> ''")
+        .groupBy("text", "label")
+        .agg(F.count("*").alias("pages"))
         .withColumn("held_back", F.col("label").isNotNull()
                     & F.substring(F.md5("text"), 1, 1).isin(*HELD_BACK))
+        .withColumn("number", F.monotonically_increasing_id())
     )
-    counted = F.when(~F.col("held_back"), F.col("label"))
-    counts = (
-        urls.select(counted.alias("label"), F.explode(_grams(F.col("text"))).alias("gram"))
-        .groupBy("gram")
-        .agg(
-            F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("accepted"),
-            F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("rejected"),
-        )
-    )
-    to_score = urls.filter("label IS NULL OR held_back")
-    scored = stored(
-        to_score.select("*", F.explode(_grams(F.col("text"))).alias("gram"))
-        .join(F.broadcast(_log_ratios(counts)), "gram")
-        .groupBy("text", "label", "held_back")
-        .agg((F.round(F.avg("log_ratio"), 6)).alias("score"))
-    )
-    asked = (
-        judged.filter("match IS NULL")
-        .withColumn("text", text)
-        .join(scored.filter("label IS NULL").select("text", "score"), "text", "left")
-        .join(F.broadcast(_threshold(scored)), F.lit(1) == F.col("one"))
+    counts = stored(_counts(urls))
+    ratios = stored(_log_ratios(counts).join(counts.select("gram", "seen"), "gram"))
+    scored = stored(_scored(urls.filter("label IS NULL OR held_back"), ratios, broadcast_bytes))
+    open_rows = judged.filter("match IS NULL").withColumn("text", text)
+    without_text = open_rows.filter("text = ''").withColumn("score", F.lit(None).cast("double"))
+    scores = scored.filter("label IS NULL").select("text", "pages", "score")
+    with_text = join_groups(open_rows.filter("text <> ''"), scores, ["text"], "pages")
+    asked = with_text.drop("pages").unionByName(without_text).join(
+        F.broadcast(_threshold(scored)), F.lit(1) == F.col("one")
     )
     by_model = F.when(F.coalesce("score", F.lit(0.0)) >= F.col("threshold"), "allow").otherwise(
         "block"

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerbeam.llm import sharding
-from tests.llm.helpers import documents, ordered
+from ledgerbeam.llm.queries import op10_sharding
+from tests.llm.helpers import TESTDATA, documents, ordered, same_as_duckdb
 
 NAMES = [f"s{i}" for i in range(7)]
 
@@ -82,3 +83,7 @@ def test_written_shards_keep_columns_with_any_names(spark, tmp_path):
     assert set(back.columns) == {*docs.columns, "shard"}
     columns = ("doc_id", "placed_slot", "Placed_Index", "placed__split")
     assert ordered(back, *columns) == ordered(docs, *columns)
+
+
+def test_sql_gives_the_same_rows(spark):
+    same_as_duckdb(spark, "op10_sharding", op10_sharding, f"{TESTDATA}/sf0.01")
