@@ -16,10 +16,10 @@ from ledgerbeam.llm.common import map_batches, stored
 
 SAMPLE = 8192  # distinct vectors that the partitions are learned on
 MOST_PARTS = 256
-PART_ROWS = 512  # wished size of a partition
+PART_ROWS = 64  # wished size of a partition while there are fewer than MOST_PARTS
 GRAPH_DEGREE = 10
 HIDDEN = 64
-ROUTED = 0.985  # share of the sample's neighbours that the probes of a query should reach
+ROUTED = 0.96  # share of the sample's neighbours that the probes of a query should reach
 CELL_ROWS, CELL_QUERIES = 4096, 1024
 BLOCK = 1024  # rows whose differences from a query are held at once
 

@@ -42,6 +42,33 @@ def recall(got, want):
     return hit / max(1, sum(map(len, want.values())))
 
 
+def learned(spark, sf):
+    rows = table(spark, "embeddings", sf).orderBy("vec_id").collect()
+    return ann.learn(np.array([r["embedding"] for r in rows], dtype=np.float64), len(rows) // ann.PART_ROWS), len(rows)
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_routing_leaves_rows_out_at_small_sizes_too(spark, sf):
+    router, rows = learned(spark, sf)
+    parts = router.weights[2].shape[1]
+    assert parts == rows // ann.PART_ROWS > 1
+    assert router.probes < 0.9 * parts  # these vectors are random: nothing routes them well
+
+
+def test_clustered_vectors_need_few_parts():
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((40, 32)) * 4
+    x = centres[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 32))
+    router = ann.learn(x, len(x) // ann.PART_ROWS)
+    place = router.logits(x).argmax(1)
+    order = np.argsort(-router.logits(x), axis=1)[:, : router.probes]
+    read = np.bincount(place, minlength=len(x) // ann.PART_ROWS)[order].sum(1).mean()
+    assert read < 0.2 * len(x)
+    near = ann.neighbour_graph(x, 10)
+    found = (place[near][:, :, None] == order[:, None, :]).any(2).mean()
+    assert found >= 0.95
+
+
 @pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
 def test_recall_and_exact_scores_on_whole_tables(spark, sf):
     df = table(spark, "embeddings", sf)
