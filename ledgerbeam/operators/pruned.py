@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def surviving_entries(
     spark = gl.sparkSession
 
     def kept(rows: DataFrame, n: int) -> DataFrame:
-        some = spark.createDataFrame([(b,) for b in left[n]], "bucket long")
+        some = spark.createDataFrame(pa.table({"bucket": pa.array(left[n], pa.int64())}))
         return rows.join(F.broadcast(some), _bucket(rows["party"], n, buckets) == some["bucket"], "left_semi")
 
     return reduce(kept, range(HASHES), entries)
