@@ -306,7 +306,8 @@ def prefix_trie(
        one proves that a prefix belongs to a single conversation: its node is complete
        where the row lies, but for the parent's name at the top of such a tail.
     3. Only prefixes that may be shared are grouped by their digests. A false alarm is a
-       group of one there and changes nothing.
+       group of one there and changes nothing; where its parent was proven single, which is
+       no group, the parent is of the same conversation.
     4. A node is owned by its smallest member, which owns all nodes below it on its path.
        So leaves and savings of a subtree are sums over the members of what they own from
        that depth on, which is a running sum along each conversation.
@@ -337,6 +338,7 @@ def prefix_trie(
             F.first("bytes").alias("node_bytes"),
             F.first("p1").alias("p1"),
             F.first("p2").alias("p2"),
+            F.first("parent_single").alias("parent_single"),
         )
     )
     facts = nodes.select(*KEY, "owner", "n_convs", "n_ends", "node_bytes")
@@ -386,10 +388,15 @@ def prefix_trie(
         *KEY, F.col("owner").alias("parent_conv_id"), "n_children"
     )
 
-    grouped = whole.filter("pos > 0").select(
-        *inner, F.col("owner").alias("conv_id"), "n_convs", F.col("n_children").alias("children"),
+    group_facts = [
+        F.col("owner").alias("conv_id"), "n_convs", F.col("n_children").alias("children"),
         "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(NO_ENDS)).alias("ends_sha256"),
         F.lit(False).alias("screened"),
+    ]
+    grouped = whole.filter("pos > 0 AND NOT parent_single").select(*inner, *group_facts)
+    # a parent proven single is no group; it is of the false alarm's own conversation
+    alarms = whole.filter("pos > 0 AND parent_single").select(
+        (F.col("pos") - 1).alias("pos"), *group_facts, F.col("owner").alias("parent_conv_id")
     )
 
     def tail(parent: list[Column]) -> list[Column]:
@@ -408,13 +415,12 @@ def prefix_trie(
         *tail([(F.col("pos") - 1).alias("pos")]), F.col("conv_id").alias("parent_conv_id")
     )
     root = whole.filter("pos = 0").select(
-        F.lit(-1).cast("long").alias("pos"), F.col("owner").alias("conv_id"), "n_convs",
-        F.col("n_children").alias("children"), "n_leaves", "saved_tokens",
-        F.coalesce("ends_sha256", F.lit(NO_ENDS)).alias("ends_sha256"), F.lit(False).alias("screened"),
+        F.lit(-1).cast("long").alias("pos"), *group_facts,
         F.lit(None).cast("long").alias("parent_conv_id"),
     )
     columns = [
         "conv_id", (F.col("pos") + 1).alias("depth"), "parent_conv_id", "n_convs",
         F.col("children").alias("n_children"), "n_leaves", "saved_tokens", "ends_sha256", "screened",
     ]
-    return named.select(*columns).unionByName(inside.select(*columns)).unionByName(root.select(*columns))
+    alone = inside.select(*columns).unionByName(alarms.select(*columns))
+    return named.select(*columns).unionByName(alone).unionByName(root.select(*columns))

@@ -92,6 +92,16 @@ def test_false_alarms_change_nothing(spark, monkeypatch):
     assert ordered(got, *COLUMNS) == brute(rows, 4, 3)
 
 
+def test_false_alarms_below_single_prefixes_keep_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "LEAST_BITS", 8)
+    monkeypatch.setattr(prefix_trie, "MOST_BITS", 8)
+    rows = odd_rows() + [(c, t, "user", f"own {c} {t}") for c in range(300, 320) for t in range(12)]
+    got = prefix_trie.prefix_trie(conversations(spark, rows))
+    assert ordered(got, *COLUMNS) == brute(rows)
+    below = got.filter("screened").select("conv_id", (F.col("depth") + 1).alias("depth"))
+    assert got.filter("NOT screened").join(below, ["conv_id", "depth"]).count() > 5
+
+
 def test_query_equals_sql_and_screens_most_tails(spark):
     same_as_duckdb(spark, "op11_prefix_trie", op11_prefix_trie, f"{TESTDATA}/sf0.01", ("conversations",))
     nodes = prefix_trie.prefix_trie(spark.read.parquet(f"{TESTDATA}/sf0.01/conversations.parquet"))
